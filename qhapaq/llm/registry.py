@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qhapaq.llm import chat
+from qhapaq.llm import chat, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by the 50k byte-level vocabulary."""
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as a preference pair against its partner's last answer."""
     out = chat.format_preferences(chat.swapped_answers(table(spark, sf_dir, "conversations")))
@@ -73,7 +79,10 @@ left join d y on y.conv_id = z.conv_id and y.side = 'rejected'
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_preferences": op9_preferences}
+    return {
+        "op2_token_counts": op2_token_counts,
+        "op9_preferences": op9_preferences,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
