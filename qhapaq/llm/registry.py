@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qhapaq.llm import chat, tokens
+from qhapaq.llm import chat, packing, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                        public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as a preference pair against its partner's last answer."""
     out = chat.format_preferences(chat.swapped_answers(table(spark, sf_dir, "conversations")))
@@ -81,6 +87,7 @@ left join d y on y.conv_id = z.conv_id and y.side = 'rejected'
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
+        "op3_packing": op3_packing,
         "op9_preferences": op9_preferences,
     }
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Characters whose letter, number and blank classes are the same in all Unicode versions of the libraries here.
-SETTLED = r"[\x00-՗ -⁯₠-€ぁ-ゖァ-ヺ一-龥가-힣]*"
+SETTLED = r"[\x00-\u0557\u2000-\u206f\u20a0-\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
 LONG = 512
 #: Bounds of a worker's memory: characters cut at a time, and distinct pre-tokens whose counts are kept.
 SLICE_CHARS, KEPT = 2_000_000, 400_000
