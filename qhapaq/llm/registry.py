@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qhapaq.llm import chat, packing, tokens
+from qhapaq.llm import chat, packing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,12 @@ def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
                         for name, f in (("text", chat.text_of), ("spans", chat.trained_spans))])
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict for every document."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    return judged.select("doc_id", *[f"_measures.{c}" for c in quality.MEASURES.names], "base_failed", "kept")
+
+
 OP9_SQL = r"""
 with t as (
   select conv_id, replace(replace(coalesce(role, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') as role,
@@ -89,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_packing": op3_packing,
         "op9_preferences": op9_preferences,
+        "op10_quality": op10_quality,
     }
 
 
