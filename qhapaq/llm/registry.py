@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qhapaq.llm import chat, packing, quality, secret_scan, tokens
+from qhapaq.llm import chat, packing, personal, quality, secret_scan, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return personal.digest(personal.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
+
+
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as a preference pair against its partner's last answer."""
     out = chat.format_preferences(chat.swapped_answers(table(spark, sf_dir, "conversations")))
@@ -100,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_packing": op3_packing,
         "op7_secrets": op7_secrets,
+        "op8_personal_data": op8_personal_data,
         "op9_preferences": op9_preferences,
         "op10_quality": op10_quality,
     }

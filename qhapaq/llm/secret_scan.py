@@ -9,7 +9,6 @@ recall there. Pattern findings always stay; the network adds findings of kind "m
 from __future__ import annotations
 
 import functools
-import hashlib
 import random
 import re
 import string
