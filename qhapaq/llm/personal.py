@@ -252,5 +252,6 @@ def digest(found: DataFrame) -> DataFrame:
     """Counts by fixed kind, base_sha256 and spans from _spans."""
     spans = F.col("_spans")
     joined = lambda fs: F.array_join(F.transform(fs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.withColumns({f"n_{k}": F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long") for k in BASE} | {
+    of = lambda kind: F.filter(spans, lambda s: s["kind"] == kind)
+    return found.withColumns({f"n_{k}": F.size(of(k)).cast("long") for k in BASE} | {
         "base_sha256": F.sha2(joined(F.filter(spans, lambda s: s["kind"].isin(*BASE))), 256), "spans": joined(spans)}).drop("_spans")
