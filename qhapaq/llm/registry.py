@@ -8,13 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qhapaq.llm import chat, language, packing, personal, quality, secret_scan, tokens
+from qhapaq.llm import chat, language, mixing, packing, personal, quality, secret_scan, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 3, 1, 2, repeating, at 150% of all words."""
+    made, mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), mixing.in_turn(3, 1, 2), keep=["doc_id"])
+    goals = spark.createDataFrame([([s], n, t) for s, n, t in zip(made.sources, made.sizes, made.targets)],
+                                  "_pattern array<string>, source_size long, target double")
+    if len(made.sources) <= mixing.MOST_PATTERNS:
+        goals = F.broadcast(goals)
+    return mixed.join(goals, "_pattern").select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the 50k byte-level vocabulary."""
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -111,6 +121,7 @@ left join d y on y.conv_id = z.conv_id and y.side = 'rejected'
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
         "op2_token_counts": op2_token_counts,
         "op3_packing": op3_packing,
         "op5_language": op5_language,
