@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qhapaq.llm import chat, language, mixing, packing, personal, quality, secret_scan, tokens
+from qhapaq.llm import chat, dedup, language, mixing, packing, personal, quality, secret_scan, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents by two-word shingles."""
+    return dedup.linked(table(spark, sf_dir, "documents"), dedup.Rules(shingle=2))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
@@ -69,6 +74,44 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"_measures.{c}" for c in quality.MEASURES.names], "base_failed", "kept")
 
 
+OP6_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
+    else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s
+  from w
+), n as (
+  select doc_id, len(s) as n from s
+), e as (
+  select doc_id, unnest(s) as g from s
+), f as (
+  select g, count(*) as c from e group by g
+), r as (
+  select e.doc_id, e.g, row_number() over (partition by e.doc_id order by f.c, e.g) as i from e join f using (g)
+), p as (
+  select r.doc_id, r.g, n.n from r join n using (doc_id) where r.i <= n.n - ceil(0.8 * n.n) + 1
+), c as (
+  select distinct x.doc_id as a, y.doc_id as b from p x join p y on x.g = y.g and x.doc_id < y.doc_id
+  where 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+), l as (
+  select a, b from (
+    select c.a, c.b, len(list_intersect(x.s, y.s)) as k, len(x.s) + len(y.s) as t
+    from c join s x on x.doc_id = c.a join s y on y.doc_id = c.b)
+  where 100 * k >= 80 * (t - k)
+), u as (
+  select a, b from l union select b, a from l
+), reach as (
+  select doc_id as a, doc_id as b from documents
+  union
+  select reach.a, u.b from reach join u on u.a = reach.b
+), m as (
+  select a as doc_id, min(b) as component_id from reach group by a
+)
+select n.doc_id, cast(n.n as bigint) as n_shingles, m.component_id, n.doc_id = m.component_id as kept from n join m using (doc_id)
+"""
+
 OP9_SQL = r"""
 with t as (
   select conv_id, replace(replace(coalesce(role, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') as role,
@@ -125,6 +168,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_packing": op3_packing,
         "op5_language": op5_language,
+        "op6_near_duplicates": op6_near_duplicates,
         "op7_secrets": op7_secrets,
         "op8_personal_data": op8_personal_data,
         "op9_preferences": op9_preferences,
@@ -133,4 +177,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_preferences": OP9_SQL}
+    return {"op6_near_duplicates": OP6_SQL, "op9_preferences": OP9_SQL}
