@@ -319,3 +319,16 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     side = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     return (pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
             .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns))
+
+
+def one_of_each(docs: DataFrame, rules: Rules | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs but for near-duplicates: of each group the row of its least doc_id, and of rows that share a
+    doc_id one. All columns stay. Rows without shingles or without a doc_id are in no group and stay."""
+    found = linked(docs, rules, doc_id=doc_id, text=text)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct()
+    left = docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+    again = written(found.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy(F.col("doc_id").alias(doc_id)).count().filter("count > 1").select(doc_id), "repeated")
+    if again.isEmpty():
+        return left
+    once = left.join(again, doc_id, "left_semi").dropDuplicates([doc_id])
+    return left.join(again, doc_id, "left_anti").unionByName(once.select(*docs.columns))
