@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qhapaq.llm import chat, dedup, language, mixing, packing, personal, quality, secret_scan, tokens
+from qhapaq.llm import chat, dedup, language, mixing, neighbours, packing, personal, quality, secret_scan, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors to each of which the id is divisible by 20."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -167,6 +172,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_token_counts": op2_token_counts,
         "op3_packing": op3_packing,
+        "op4_neighbours": op4_neighbours,
         "op5_language": op5_language,
         "op6_near_duplicates": op6_near_duplicates,
         "op7_secrets": op7_secrets,
