@@ -4,11 +4,11 @@ Each document's distinct word shingles give a MinHash sample. Its values are ban
 into a parity bitmap, the odd sketch: the bits that differ between two sketches estimate how many samples differ, most
 precisely where similarity is high. Candidates whose sketches allow the similarity are confirmed on full shingle sets.
 
-Documents with equal shingle sets are one class; only class representatives are banded. In a bucket of up to `small`
-representatives all pairs are candidates. In a larger one each member is a candidate with the bucket's hub, which
-joins nearly all of a large group; members that are still in another component than most of their bucket are then
-compared with all others there, block by block. So no pair of a bucket is passed over unless it is connected already,
-and no group is gathered in one task.
+Documents with equal shingle sets are one class; only class representatives are banded. Each member of a
+bucket is a candidate with the bucket's hub, which joins nearly all of a group. Members of one bucket that are still in
+different components are then compared: in a small bucket pair by pair, else those outside a main component with all
+others that they meet, block by block. So no pair of a bucket is passed over unless it is connected already, and no group is
+gathered in one task.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qhapaq.llm.batches import steps
+from qhapaq.operators.graph import components
 from qhapaq.shared import written
 
 _MIX, _PRIME = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
@@ -50,7 +52,7 @@ class _Words(dict):
     """Hashes of words, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -129,7 +131,7 @@ def described(docs: DataFrame, rules: Rules, doc_id: str, text: str) -> DataFram
     schema = FEATURES.format(id=dict(rows.dtypes)["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in steps(batches):
             out = []
             for t in b.column(1):
                 found = shingles(t.as_py(), rules.shingle)
@@ -146,34 +148,6 @@ def _differ(a: str, b: str, words: int) -> Column:
     return functools.reduce(lambda x, y: x + y, [F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(words)])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of the edges (a, b); component is its least node.
-
-    Alternates large and small stars: nodes move to the least neighbour until nothing changes, in a number of rounds
-    that grows with the logarithm of the longest path. Minima are pre-aggregated, so a node with very many edges is no
-    task of its own.
-    """
-    edges = written(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter(F.col("a") != F.col("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
-                                                               F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = written(small.filter(F.col("a") != F.col("b")).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-
 def _bloom(ids: DataFrame, bits: int) -> bytes:
     """A bitmap of fixed size that has the hash of every id; a full one lets every row pass and costs only time."""
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
@@ -192,7 +166,7 @@ def _sets(docs: DataFrame, ids: DataFrame, rules: Rules, doc_id: str, text: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(held.value, np.uint8)
-        for b in batches:
+        for b in steps(batches):
             h = b.column(2).to_numpy()
             b = b.filter(pa.array((bitmap[h >> 3] >> (h & 7).astype(np.uint8)) & 1, pa.uint8()).cast(pa.bool_()))
             found = [shingles(t.as_py(), rules.shingle).view(np.int64) for t in b.column(1)]
@@ -223,44 +197,95 @@ def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _rest(big: DataFrame, labels: DataFrame, reps: DataFrame, rules: Rules) -> DataFrame:
-    """Candidate pairs (a, b, differ) inside large buckets between a member outside the bucket's main component and any
-    other of another component, compared in blocks."""
-    at = big.join(labels, big["doc_id"] == labels["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    at = written(at, "buckets-large")
-    sizes = at.groupBy("bucket", "component").count()
-    main = (sizes.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("m"),
-                                        F.max("count").alias("top")).filter(F.col("m") > F.col("top")))
+def _split(buckets: DataFrame, labels: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """What is left to compare in buckets (bucket, doc_id) whose members are in different components.
+
+    Pairs (a, b) of buckets of up to `small` members, unless their main component is larger than that; and for all
+    others (main, doc_id, component): the members that meet under a main component, in whichever bucket.
+    """
+    at = buckets.join(labels, buckets["doc_id"] == labels["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    at = written(at, "buckets-labelled")
+    main = (at.groupBy("bucket", "component").count().groupBy("bucket")
+            .agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("m"), F.max("count").alias("top"))
+            .filter(F.col("m") > F.col("top")))
+    whole = labels.groupBy(F.col("component").alias("main")).agg(F.count("*").alias("whole"))
+    main = main.join(whole, "main", "left").select("bucket", "main", (F.greatest("m", "whole") <= rules.small).alias("few"))
+    member = written(at.join(main, "bucket"), "buckets-split")
+    few = member.filter("few").groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "component")).alias("x"))
+    few = few.select("x", F.explode("x").alias("p")).select("p", F.explode("x").alias("q")).filter(
+        (F.col("p.component") != F.col("q.component")) & (F.col("p.doc_id") < F.col("q.doc_id")))
+    return (few.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct(),
+            member.filter(~F.col("few")).select("main", "doc_id", "component").distinct())
+
+
+class _Joined(dict):
+    """Union of component numbers inside a block."""
+
+    def of(self, x: int) -> int:
+        while self.get(x, x) != x:
+            x = self[x]
+        return x
+
+
+def block_links(left: np.ndarray, right: np.ndarray, component: np.ndarray, size: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], rules: Rules) -> list[tuple[int, int]]:
+    """Confirmed links between members of left and right (positions) that join different components.
+
+    Each right member meets the left ones that sketches allow, closest first, on full sets; once it is joined to a
+    component, the rest of that component is passed over. So links are at most as many as members.
+    """
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    mark, most, joined, out = np.zeros(ids.max() + 1, np.int64), most_differing(rules), _Joined(), []
+    for k in right.tolist():
+        z = left[(component[left] != component[k]) & (100 * np.minimum(size[left], size[k]) >= rules.percent * np.maximum(size[left], size[k]))]
+        differ = np.bitwise_count(sketch[z] ^ sketch[k]).sum(1, dtype=np.int64)
+        z = z[np.argsort(differ, kind="stable")][: int((differ <= most).sum())]
+        own = ids[ends[k] - size[k]: ends[k]]
+        mark[own] = 1
+        step = 16
+        while len(z):
+            now, z = z[:step], z[step:]
+            step *= 2
+            now = now[[joined.of(c) != joined.of(component[k]) for c in component[now].tolist()]] if len(now) else now
+            if not len(now):
+                continue
+            flat = np.concatenate([ids[ends[i] - size[i]: ends[i]] for i in now.tolist()])
+            common = np.add.reduceat(mark[flat], np.cumsum(size[now]) - size[now])
+            for i in now[100 * common >= rules.percent * (size[now] + size[k] - common)].tolist():
+                if joined.of(int(component[i])) != joined.of(int(component[k])):
+                    joined[joined.of(int(component[i]))] = joined.of(int(component[k]))
+                    out.append((i, k))
+        mark[own] = 0
+    return out
+
+
+def _met(meeting: DataFrame, docs: DataFrame, reps: DataFrame, rules: Rules) -> DataFrame:
+    """Links (a, b) among the members that meet under a main component, in blocks of bounded size."""
+    counts = meeting.groupBy("main").agg(F.count("*").alias("m"), F.count_if(F.col("component") != F.col("main")).alias("r"))
     part = lambda n: F.ceil(F.col(n) / rules.block).cast("int")
-    rows = (at.join(main, "bucket").withColumns({"m": part("m"), "r": F.ceil((F.col("m") - F.col("top")) / rules.block).cast("int"),
-                                                 "odd": F.col("component") != F.col("main"), "h": F.xxhash64("doc_id", "bucket")})
-            .join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id"))
+    sets = _sets(docs, meeting.select("doc_id").distinct(), rules, "doc_id", "text").dropDuplicates(["doc_id"])
+    rows = (meeting.join(counts.select("main", part("m").alias("m"), part("r").alias("r")), "main")
+            .join(reps.select("doc_id", "sketch"), "doc_id").join(sets, "doc_id").withColumn("h", F.xxhash64("doc_id")))
     own = lambda n: F.pmod("h", F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    what = ["bucket", "doc_id", "component", "n_shingles", "sketch"]
+    what = ["main", "doc_id", "component", "sketch", "shingles"]
+    rows = written(rows, "meeting")
     left = rows.select(*what, F.lit(True).alias("left"), own("m").alias("i"), every("r").alias("j"))
-    right = rows.filter("odd").select(*what, F.lit(False).alias("left"), every("m").alias("i"), own("r").alias("j"))
-    most, id_type = most_differing(rules), dict(reps.dtypes)["doc_id"]
+    right = rows.filter(F.col("component") != F.col("main")).select(*what, F.lit(False).alias("left"), every("m").alias("i"), own("r").alias("j"))
+    id_type = dict(reps.dtypes)["doc_id"]
 
     def compare(group: pa.Table) -> pa.Table:
         is_left = group["left"].to_numpy().astype(bool)
-        ids = group["doc_id"].combine_chunks()
-        comp = group["component"].combine_chunks().dictionary_encode().indices.to_numpy()
-        n = group["n_shingles"].to_numpy()
-        sketch = np.array(group["sketch"].to_pylist(), np.int64).view(np.uint64).reshape(len(n), -1)
-        x, y = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        ii, jj, dd = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for k in y:
-            differ = np.bitwise_count(sketch[x] ^ sketch[k]).sum(1, dtype=np.int64)
-            hit = (differ <= most) & (comp[x] != comp[k]) & (100 * np.minimum(n[x], n[k]) >= rules.percent * np.maximum(n[x], n[k]))
-            ii.append(x[hit])
-            jj.append(np.full(int(hit.sum()), k))
-            dd.append(differ[hit])
-        i, j = pa.array(np.concatenate(ii)), pa.array(np.concatenate(jj))
-        return pa.table({"x": ids.take(i), "y": ids.take(j), "differ": pa.array(np.concatenate(dd))})
-
-    found = left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(compare, f"x {id_type}, y {id_type}, differ long")
-    return found.select(*_ordered(F.col("x"), F.col("y")), "differ").distinct()
+        ids, column = group["doc_id"].combine_chunks(), group["shingles"].combine_chunks()
+        component = group["component"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        sketch = group["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        size = column.value_lengths().to_numpy().astype(np.int64)
+        sets = np.split(column.flatten().to_numpy(), np.cumsum(size)[:-1])
+        found = block_links(np.flatnonzero(is_left), np.flatnonzero(~is_left), component, size, sketch, sets, rules)
+        x, y = pa.array([i for i, _ in found], pa.int64()), pa.array([j for _, j in found], pa.int64())
+        return pa.table({"x": ids.take(x), "y": ids.take(y)})
+
+    return left.unionByName(right).groupBy("main", "i", "j").applyInArrow(compare, f"x {id_type}, y {id_type}").select(*_ordered(F.col("x"), F.col("y")))
 
 
 def linked(docs: DataFrame, rules: Rules | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -292,26 +317,27 @@ def _near(docs: DataFrame, reps: DataFrame, rules: Rules) -> DataFrame:
     hub = F.min_by("doc_id", F.xxhash64("doc_id", "bucket"))  # another one in each band
     buckets = member.groupBy("bucket").agg(hub.alias("hub"), F.count("*").alias("n")).filter("n > 1")
     in_bucket = written(member.join(buckets, "bucket"), "buckets")
-    few = in_bucket.filter(F.col("n") <= rules.small).groupBy("bucket").agg(F.sort_array(F.collect_list("doc_id")).alias("x"))
-    few = few.select("x", F.posexplode("x").alias("i", "a")).select("a", F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("b"))
-    large = in_bucket.filter(F.col("n") > rules.small)
-    pairs = few.unionByName(large.select(*_ordered(F.col("doc_id"), F.col("hub")))).filter(F.col("a") != F.col("b")).distinct()
+    pairs = in_bucket.select(*_ordered(F.col("doc_id"), F.col("hub"))).filter(F.col("a") != F.col("b")).distinct()
     pairs = written(_sketched(pairs, reps, rules), "pairs")
-    sets = written(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), rules, "doc_id", "text").dropDuplicates(["doc_id"]), "sets")
+    sets = written(_sets(docs, _ends(pairs), rules, "doc_id", "text").dropDuplicates(["doc_id"]), "sets")
     both = pairs.select(F.col("a").alias("node"), "a", "b", "differ").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "differ"))
     best = both.groupBy("node").agg(F.min(F.struct("differ", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
     links = written(_confirmed(best, sets, rules), "links")
-    labels = components(links)
-    open_ = written(_apart(pairs, labels).join(best, ["a", "b"], "left_anti").select("a", "b"), "pairs-open")
+    open_ = written(_apart(pairs, components(links)).join(best, ["a", "b"], "left_anti").select("a", "b"), "pairs-open")
     links = links.unionByName(written(_confirmed(open_, sets, rules), "links"))
-    if large.isEmpty():
-        return links
-    labels = components(links)
-    rest = written(_rest(large.select("bucket", "doc_id"), labels, reps, rules).join(pairs, ["a", "b"], "left_anti"), "pairs-rest")
-    if rest.isEmpty():
-        return links
-    more = _sets(docs, rest.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), rules, "doc_id", "text").dropDuplicates(["doc_id"])
-    return links.unionByName(written(_confirmed(rest.select("a", "b"), written(more, "sets"), rules), "links"))
+    few, meeting = _split(in_bucket.filter("n > 2").select("bucket", "doc_id"), components(links), rules)
+    few = written(_sketched(few, reps, rules).join(pairs, ["a", "b"], "left_anti").select("a", "b"), "pairs-few")
+    if not few.isEmpty():
+        more = written(_sets(docs, _ends(few), rules, "doc_id", "text").dropDuplicates(["doc_id"]), "sets")
+        links = links.unionByName(written(_confirmed(few, more, rules), "links"))
+    meeting = written(meeting, "meeting")
+    if not meeting.isEmpty():
+        links = links.unionByName(written(_met(meeting, docs, reps, rules), "links"))
+    return links
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
