@@ -24,11 +24,12 @@ def running_sums(rows: DataFrame, groups: Sequence[str], order: str, sums: dict[
     """
     keys = list(groups)
     cuts = [i / RANGES for i in range(1, RANGES)]
-    edges = rows.groupBy(*keys).agg(F.percentile_approx(order, F.array(*map(F.lit, cuts)), F.lit(10_000)).alias("_edges"))
+    named = [F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)]
+    edges = rows.groupBy(*named).agg(F.percentile_approx(order, F.array(*map(F.lit, cuts)), F.lit(10_000)).alias("_edges"))
     same = F.lit(True)
     for k in keys:
-        same = same & rows[k].eqNullSafe(edges[k])
-    placed = rows.join(edges, same, "left").select(*[rows[c] for c in rows.columns], F.size(F.filter("_edges", lambda e: e < F.col(order))).alias("_range"))
+        same = same & F.col(k).eqNullSafe(F.col(f"_e{keys.index(k)}"))
+    placed = rows.join(edges, same, "left").select(*rows.columns, F.size(F.filter("_edges", lambda e: e < F.col(order))).alias("_range"))
     totals = placed.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"),

@@ -126,7 +126,7 @@ def snap_summary(snaps: DataFrame, *keys: str) -> DataFrame:
                                     F.round(F.max("snap_dist_m"), 1).alias("snap_dist_max_m"))
 
 
-def people_by_place(cells: DataFrame, places: DataFrame, *, group: str | None = None, polygons: DataFrame | None = None) -> DataFrame:
+def people_by_place(cells: DataFrame, places: DataFrame, *, group: str | None = None, polygons: DataFrame | None = None, places_after: int = 1) -> DataFrame:
     """(cod_ccpp, poblacion): each cell's value goes to the nearest place, of the cell's group if there are groups.
 
     cells: cell_id, cx, cy, val (null, negative and zero values count nothing). With polygons (group, rings) a cell's
@@ -143,7 +143,7 @@ def people_by_place(cells: DataFrame, places: DataFrame, *, group: str | None =
         scale = lambda d, a, b: d.withColumns(dict(zip(("_x", "_y"), local_xy(F.col(a), F.col(b), at))))
     close = nearest(scale(live, "cx", "cy"), scale(places, "lon", "lat"), "cell_id", "cod_ccpp", group=group)
     sums = close.join(live.select("cell_id", "val"), "cell_id").groupBy("cod_ccpp").agg(F.sum("val").alias("s"))
-    return places.select("cod_ccpp").distinct().join(sums, "cod_ccpp", "left").select("cod_ccpp", F.round(F.coalesce("s", F.lit(0.0)), 1).alias("poblacion"))
+    return places.select("cod_ccpp").distinct().join(sums, "cod_ccpp", "left").select("cod_ccpp", F.round(F.coalesce("s", F.lit(0.0)), places_after).alias("poblacion"))
 
 
 def interior_point(rings: list[list[tuple[float, float]]]) -> tuple[float, float] | None:

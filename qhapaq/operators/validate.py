@@ -27,19 +27,29 @@ def judged_coordinates(rows: DataFrame, lat: str, lon: str, settings: Settings =
     The rules act in order on what is left: not a number; as good as zero; wrong sign on an axis whose negative is in
     range; swapped axes; outside the box. A pair that is both negated and swapped is outside.
     """
-    s, y, x = settings, F.col("_y"), F.col("_x")
-    rows = rows.withColumns({"_y": text.number(F.col(lat)), "_x": text.number(F.col(lon))})
-    missing = y.isNull() | x.isNull()
-    zero = ~missing & ((F.abs(y) < s.zero) | (F.abs(x) < s.zero))
-    flip_y = (y > 0) & (-y).between(s.box.lat_min, s.box.lat_max)
-    flip_x = (x > 0) & (-x).between(s.box.lon_min, s.box.lon_max)
-    live = ~missing & ~zero
-    rows = rows.withColumns({"_r0": missing, "_r1": zero, "_r2": live & (flip_y | flip_x),
-                             "_y1": F.when(flip_y, -y).otherwise(y), "_x1": F.when(flip_x, -x).otherwise(x)})
-    y, x, live = F.col("_y1"), F.col("_x1"), ~F.col("_r0") & ~F.col("_r1")
-    swap = live & ~_in_box(y, x, s) & _in_box(x, y, s)
-    rows = rows.withColumn("_r3", swap).withColumns({"_lat": F.when(F.col("_r3"), x).otherwise(y), "_lon": F.when(F.col("_r3"), y).otherwise(x)})
-    return rows.withColumn("_r4", live & ~_in_box(F.col("_lat"), F.col("_lon"), s)).drop("_y", "_x", "_y1", "_x1")
+    s = settings
+
+    def signs(p: Column) -> Column:
+        y, x = p["y"], p["x"]
+        missing = y.isNull() | x.isNull()
+        zero = ~missing & ((F.abs(y) < s.zero) | (F.abs(x) < s.zero))
+        flip_y = F.coalesce((y > 0) & (-y).between(s.box.lat_min, s.box.lat_max), F.lit(False))
+        flip_x = F.coalesce((x > 0) & (-x).between(s.box.lon_min, s.box.lon_max), F.lit(False))
+        return F.struct(missing.alias("r0"), zero.alias("r1"), (~missing & ~zero & (flip_y | flip_x)).alias("r2"),
+                        F.when(flip_y, -y).otherwise(y).alias("y"), F.when(flip_x, -x).otherwise(x).alias("x"))
+
+    def axes(p: Column) -> Column:
+        swap = ~p["r0"] & ~p["r1"] & ~_in_box(p["y"], p["x"], s) & _in_box(p["x"], p["y"], s)
+        return F.struct(p["r0"].alias("r0"), p["r1"].alias("r1"), p["r2"].alias("r2"), swap.alias("r3"),
+                        F.when(swap, p["x"]).otherwise(p["y"]).alias("y"), F.when(swap, p["y"]).otherwise(p["x"]).alias("x"))
+
+    # each step is a lambda over an array of one, so its input is worked out once however often it is named
+    first = F.array(F.struct(text.number(F.col(lat)).alias("y"), text.number(F.col(lon)).alias("x")))
+    rows = rows.withColumn("_j", F.transform(F.transform(first, signs), axes)[0])
+    live = ~F.col("_j.r0") & ~F.col("_j.r1")
+    flags = {f"_r{i}": F.coalesce(F.col(f"_j.r{i}"), F.lit(False)) for i in range(4)}
+    outside = F.coalesce(live & ~_in_box(F.col("_j.y"), F.col("_j.x"), s), F.lit(False))
+    return rows.withColumns(flags | {"_r4": outside, "_lat": F.col("_j.y"), "_lon": F.col("_j.x")}).drop("_j")
 
 
 def valid_coordinates(judged: DataFrame) -> DataFrame:

@@ -16,11 +16,14 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, sums: str = "", places: int = 2) -> Callable[[Query], Query]:
+    """Register a query. The columns named in sums are rounded on both sides, since the last bits of a sum of doubles
+    follow the order of the additions."""
     def keep(f: Query) -> Query:
-        QUERIES[name] = f
+        names = sums.split()
+        QUERIES[name] = f if not names else lambda spark, d: f(spark, d).withColumns({c: F.round(c, places) for c in names})
         if sql:
-            SQL[name] = sql
+            SQL[name] = sql if not names else f"select * replace ({', '.join(f'round({c}, {places}) as {c}' for c in names)}) from ({sql})"
         return f
 
     return keep
@@ -99,7 +102,7 @@ def unroutable_origins(spark, d):
 
 @query("profile_summary", with_views("with " + NEAREST + """
 select profile, count(*) as n, median(duration_s_min/60) as mediana, quantile_cont(duration_s_min/60, 0.9) as p90, max(duration_s_min/60) as maximo
-from n_access where duration_s_min is not null group by profile""", "f_matrix"))
+from n_access where duration_s_min is not null group by profile""", "f_matrix"), sums="mediana p90 maximo", places=6)
 def profile_summary(spark, d):
     return access.profile_summary(_access(spark, d))
 
@@ -142,7 +145,7 @@ def base_table_unweighted(spark, d):
 
 
 @query("coverage_bands", over_base(f"""
-select banda, poblacion, round(100*poblacion/sum(poblacion) over (), 2) as share_pct from (select {BAND} as banda, sum(poblacion) as poblacion from n_base group by 1)"""))
+select banda, poblacion, round(100*poblacion/sum(poblacion) over (), 2) as share_pct from (select {BAND} as banda, sum(poblacion) as poblacion from n_base group by 1)"""), sums="poblacion")
 def coverage_bands(spark, d):
     return metrics.coverage_bands(_base(spark, d))
 
@@ -150,7 +153,7 @@ def coverage_bands(spark, d):
 @query("coverage_bands_by_dept", over_base(f"""
 select departamento, banda, poblacion, sum(poblacion) over (partition by departamento) as poblacion_total_grupo,
   round(100*poblacion/sum(poblacion) over (partition by departamento), 2) as share_pct
-from (select departamento, {BAND} as banda, sum(poblacion) as poblacion from n_base group by 1, 2)"""))
+from (select departamento, {BAND} as banda, sum(poblacion) as poblacion from n_base group by 1, 2)"""), sums="poblacion poblacion_total_grupo")
 def coverage_bands_by_dept(spark, d):
     return metrics.coverage_bands(_base(spark, d), group="departamento")
 
@@ -170,17 +173,17 @@ select {keys}, sum(poblacion) as poblacion, coalesce(sum(poblacion) filter (wher
   {LOST} as pct_sin_ruta, {AVERAGE} as acceso_min_ponderado, count(*) as n_centros_poblados from n_base group by {keys}""")
 
 
-@query("weighted_access_district", _weighted_sql("ubigeo_distrito", "nombre_distrito"))
+@query("weighted_access_district", _weighted_sql("ubigeo_distrito", "nombre_distrito"), sums="poblacion poblacion_ruteable")
 def weighted_access_district(spark, d):
     return metrics.weighted_access(_base(spark, d))
 
 
-@query("weighted_access_province", _weighted_sql("ubigeo_provincia", None))
+@query("weighted_access_province", _weighted_sql("ubigeo_provincia", None), sums="poblacion poblacion_ruteable")
 def weighted_access_province(spark, d):
     return metrics.weighted_access(_base(spark, d), "ubigeo_provincia", None)
 
 
-@query("weighted_access_dept", _weighted_sql("ubigeo_departamento", "departamento"))
+@query("weighted_access_dept", _weighted_sql("ubigeo_departamento", "departamento"), sums="poblacion poblacion_ruteable")
 def weighted_access_dept(spark, d):
     return metrics.weighted_access(_base(spark, d), "ubigeo_departamento", "departamento")
 
@@ -197,7 +200,7 @@ def critical_gaps_top20(spark, d):
 select ubigeo_distrito, nombre_distrito, min(departamento) as departamento, min(nombre_provincia) as provincia, sum(poblacion) as poblacion,
   round(sum(t_min*poblacion)/nullif(sum(poblacion) filter (where t_min is not null), 0), 1) as acceso_min_ponderado,
   round(100*(sum(poblacion) - coalesce(sum(poblacion) filter (where t_min is not null), 0))/nullif(sum(poblacion), 0), 1) as pct_sin_ruta
-from n_base group by 1, 2"""))
+from n_base group by 1, 2"""), sums="poblacion")
 def district_rollup(spark, d):
     return metrics.district_rollup(_base(spark, d))
 
@@ -240,7 +243,7 @@ def access_ecdf(spark, d):
 @query("urban_rural_contrast", over_base(f"""
 select departamento, urbano_rural, sum(poblacion) as poblacion, {AVERAGE} as acceso_min_ponderado,
   round(100*coalesce(sum(poblacion) filter (where t_min <= 60), 0)/nullif(sum(poblacion), 0), 2) as pct_pob_le_umbral, {LOST} as pct_sin_ruta
-from n_base group by 1, 2"""))
+from n_base group by 1, 2"""), sums="poblacion")
 def urban_rural_contrast(spark, d):
     return metrics.settlement_contrast(_base(spark, d))
 
@@ -248,7 +251,7 @@ def urban_rural_contrast(spark, d):
 @query("altitude_strips", over_base(f"""
 select case when altitud_m < 500 then 'costa <500' when altitud_m < 1500 then 'yungas 500-1500' when altitud_m < 3500 then 'sierra 1500-3500' else 'puna >3500' end as franja_altitud,
   sum(poblacion) as poblacion, {AVERAGE} as acceso_min_ponderado, round(avg(altitud_m), 0) as altitud_media_m
-from n_base where altitud_m >= 0 and altitud_m < 9000 group by 1"""))
+from n_base where altitud_m >= 0 and altitud_m < 9000 group by 1"""), sums="poblacion")
 def altitude_strips(spark, d):
     return metrics.altitude_strips(_base(spark, d))
 
@@ -265,7 +268,7 @@ def spearman_altitude(spark, d):
 select count(*) as n_centros_poblados, sum(poblacion) as poblacion_total, coalesce(sum(poblacion) filter (where t_min <= 60), 0) as poblacion_cubierta,
   coalesce(sum(poblacion) filter (where t_min > 60), 0) as poblacion_lejos, coalesce(sum(poblacion) filter (where t_min is null), 0) as poblacion_sin_ruta, median(t_min) as mediana_min,
   round(100*coalesce(sum(poblacion) filter (where t_min <= 60), 0)/sum(poblacion), 2) as pct_cubierta, round(100*coalesce(sum(poblacion) filter (where t_min is null), 0)/sum(poblacion), 2) as pct_sin_ruta
-from n_base"""))
+from n_base"""), sums="poblacion_total poblacion_cubierta poblacion_lejos poblacion_sin_ruta")
 def kpi_summary(spark, d):
     return metrics.kpis(_base(spark, d))
 
@@ -299,7 +302,7 @@ def scenario_times(spark, d):
 
 @query("scenario_upgrade", with_views("with " + SIMULATED + """,
 t as (select sum(poblacion) as poblacion_total, coalesce(sum(poblacion) filter (where t_antes <= 60), 0) as cubierta_antes, coalesce(sum(poblacion) filter (where t_despues <= 60), 0) as cubierta_despues from s)
-select *, cubierta_despues - cubierta_antes as ganancia, round(100*cubierta_antes/poblacion_total, 2) as pct_antes, round(100*cubierta_despues/poblacion_total, 2) as pct_despues from t""", "f_matrix", "f_demand", "f_facility"))
+select *, cubierta_despues - cubierta_antes as ganancia, round(100*cubierta_antes/poblacion_total, 2) as pct_antes, round(100*cubierta_despues/poblacion_total, 2) as pct_despues from t""", "f_matrix", "f_demand", "f_facility"), sums="poblacion_total cubierta_antes cubierta_despues ganancia")
 def scenario_upgrade(spark, d):
     return scenario.coverage(_simulated(spark, d))
 
@@ -501,9 +504,9 @@ with k as (select median(lat) as m from f_demand),
 c as (select c.cell_id, c.val, d.cod_ccpp, pow((c.cx-d.lon)*cos(radians(m))*111320, 2) + pow((c.cy-d.lat)*110540, 2) as q from f_cells c, f_demand d, k),
 n as (select cell_id, any_value(val) as val, arg_min(cod_ccpp, (q, cod_ccpp)) as cod_ccpp from c group by 1),
 s as (select cod_ccpp, sum(val) as s from n group by 1)
-select d.cod_ccpp, round(coalesce(s.s, 0), 1) as poblacion from f_demand d left join s using (cod_ccpp)""", "f_cells", "f_demand"))
+select d.cod_ccpp, round(coalesce(s.s, 0), 4) as poblacion from f_demand d left join s using (cod_ccpp)""", "f_cells", "f_demand"))
 def population_voronoi(spark, d):
-    return spatial.people_by_place(view(spark, d, "f_cells"), view(spark, d, "f_demand").select("cod_ccpp", "lon", "lat"))
+    return spatial.people_by_place(view(spark, d, "f_cells"), view(spark, d, "f_demand").select("cod_ccpp", "lon", "lat"), places_after=4)
 
 
 @query("population_by_department", with_views("""
@@ -512,11 +515,11 @@ l as (select d.cod_ccpp, d.lon, d.lat, p.poly_id as dep from f_demand d join f_p
 k as (select dep, median(lat) as m from l group by 1),
 n as (select c.cell_id, any_value(c.val) as val, arg_min(l.cod_ccpp, (pow((f.cx-l.lon)*cos(radians(m))*111320, 2) + pow((f.cy-l.lat)*110540, 2), l.cod_ccpp)) as cod_ccpp
   from c join f_cells f using (cell_id) join l on l.dep = c.dep join k on k.dep = c.dep group by 1)
-select l.cod_ccpp, round(coalesce(sum(n.val), 0), 1) as poblacion from l left join n using (cod_ccpp) group by 1""", "f_cells", "f_demand", "f_poly"))
+select l.cod_ccpp, round(coalesce(sum(n.val), 0), 4) as poblacion from l left join n using (cod_ccpp) group by 1""", "f_cells", "f_demand", "f_poly"))
 def population_by_department(spark, d):
     polygons = _polygons(spark, d).withColumnRenamed("poly_id", "dep")
     places = spatial.within(view(spark, d, "f_demand").select("cod_ccpp", "lon", "lat"), polygons, "cod_ccpp", "dep").filter("dep is not null")
-    return spatial.people_by_place(view(spark, d, "f_cells"), places, group="dep", polygons=polygons)
+    return spatial.people_by_place(view(spark, d, "f_cells"), places, group="dep", polygons=polygons, places_after=4)
 
 
 @query("edge_min_parallel", """
@@ -537,7 +540,7 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
 
 
 POINTS = """
-p0 as (select way_id, row_number() over (partition by way_id order by i) as i, lon, lat from f_point),
+p0 as (select way_id, row_number() over (partition by way_id order by i, lon, lat) as i, lon, lat from f_point),
 p1 as (select * from p0 union all select way_id, (select max(i) from p0 q where q.way_id = p0.way_id) + 1, lon, lat from p0 where i = 1 and way_id%5 = 0),
 p2 as (select *, cast(round(lon*1e7) as bigint) as x, cast(round(lat*1e7) as bigint) as y, count(*) over (partition by way_id) as n from p1),
 u as (select x, y, count(*) as uso from p2 where n >= 2 group by 1, 2),
@@ -546,8 +549,8 @@ e as (select p2.*, u.uso, last_value((p2.x, p2.y)) over (partition by way_id ord
 f as (select *, case when i > 1 and (uso >= 2 or fin) then 1 else 0 end as stop,
   coalesce(2*6371000e0*asin(sqrt(pow(sin(radians(lat-lat0)/2), 2) + cos(radians(lat0))*cos(radians(lat))*pow(sin(radians(lon-lon0)/2), 2))), 0) as step from e),
 g as (select *, coalesce(sum(stop) over (partition by way_id order by i rows between unbounded preceding and 1 preceding), 0) as seg from f),
-h as (select way_id, seg, arg_min(x0, i) as ax, arg_min(y0, i) as ay, arg_max(x, i) as bx, arg_max(y, i) as by, sum(step) as length, max(stop) as closed from g where i > 1 group by 1, 2),
-s as (select * from h where closed = 1 and (ax <> bx or ay <> by) and length > 0)
+h as (select way_id, seg, arg_min(x0, i) as from_x, arg_min(y0, i) as from_y, arg_max(x, i) as to_x, arg_max(y, i) as to_y, sum(step) as length, max(stop) as closed from g where i > 1 group by 1, 2),
+s as (select * from h where closed = 1 and (from_x <> to_x or from_y <> to_y) and length > 0)
 """
 
 
@@ -557,18 +560,18 @@ def junction_counts(spark, d):
     return graph.junction_counts(points).select("node.x", "node.y", "uso")
 
 
-@query("segment_lengths", with_views("with " + POINTS + "select way_id, cast(seg as bigint) as seg, ax, ay, bx, by, round(length, 4) as length from s", "f_point"))
+@query("segment_lengths", with_views("with " + POINTS + "select way_id, cast(seg as bigint) as seg, from_x, from_y, to_x, to_y, round(length, 4) as length from s", "f_point"))
 def segment_lengths(spark, d):
     seg = graph.segments(graph.way_points(graph.relevant_ways(_points(spark, d), "foot"), "foot"))
-    return seg.select("way_id", "seg", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), F.round("length", 4).alias("length"))
+    return seg.select("way_id", "seg", F.col("a.x").alias("from_x"), F.col("a.y").alias("from_y"), F.col("b.x").alias("to_x"), F.col("b.y").alias("to_y"), F.round("length", 4).alias("length"))
 
 
 @query("road_graph_car", with_views("with " + POINTS + """,
-d as (select way_id, ax, ay, bx, by, length from s union all select way_id, bx, by, ax, ay, length from s where way_id%4 <> 0)
-select ax, ay, bx, by, round(length, 4) as length, 50e0 as speed_kph, round(length/(50*1000/3600e0), 4) as travel_time from d""", "f_point"))
+d as (select way_id, from_x, from_y, to_x, to_y, length from s union all select way_id, to_x, to_y, from_x, from_y, length from s where way_id%4 <> 0)
+select from_x, from_y, to_x, to_y, round(length, 4) as length, 50e0 as speed_kph, round(length/(50*1000/3600e0), 4) as travel_time from d""", "f_point"))
 def road_graph_car(spark, d):
     e = graph.edges(_points(spark, d), "car")
-    return e.select(F.col("src.x").alias("ax"), F.col("src.y").alias("ay"), F.col("dst.x").alias("bx"), F.col("dst.y").alias("by"), F.round("length", 4).alias("length"),
+    return e.select(F.col("src.x").alias("from_x"), F.col("src.y").alias("from_y"), F.col("dst.x").alias("to_x"), F.col("dst.y").alias("to_y"), F.round("length", 4).alias("length"),
                     "speed_kph", F.round("travel_time", 4).alias("travel_time"))
 
 
