@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qhapaq.llm.batches import steps
+
 #: The published pre-token pattern of the byte-level vocabularies, and its form for ASCII texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
@@ -30,7 +32,7 @@ ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0
 SETTLED = r"[\x00-\u0557\u2000-\u206f\u20a0-\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
 LONG = 512
 #: Bounds of a worker's memory: characters cut at a time, and distinct pre-tokens whose counts are kept.
-SLICE_CHARS, KEPT = 2_000_000, 400_000
+SLICE_CHARS, KEPT = 2_000_000, 200_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -226,7 +228,7 @@ def count_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for b in batches:
+        for b in steps(batches):
             texts = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()),
                                               pa.array(bpe.count(texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
