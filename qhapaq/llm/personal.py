@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qhapaq.llm.batches import steps
 from qhapaq.shared import written
 
 BASE = ("email", "ip", "card", "phone")
@@ -222,7 +223,7 @@ def propose(docs: DataFrame, *, text: str = "text", keep: list[str] | None = Non
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("_spans", T.ArrayType(_SPAN))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in steps(batches):
             found = pa.array([_spans(t.as_py()) for t in b.column(at)], _ARROW_SPANS)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], found], [*keep, "_spans"])
 
@@ -234,7 +235,7 @@ def find(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None,
 
     The first pass writes each row's spans to the shared folder (a small fraction of the texts); vote and feature
     patterns, at most 9 * 3**6 * 64 of them whatever the corpus, are counted over all rows and brought to the driver to
-    train; the second pass scores what was written. Offsets are code points, ends exclusive. Defined cases: a null text
+    train; the second pass scores what was written. A proposed span that fails its checksum is never accepted. Offsets are code points, ends exclusive. Defined cases: a null text
     has no spans; repeated rows are read each; an empty table gives no rows; other columns pass through.
     """
     proposed = written(propose(docs, text=text, keep=keep), "personal")
@@ -242,7 +243,7 @@ def find(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None,
     counted = one.groupBy("s.kind", "s.votes", "s.bins").count().collect()
     weights, _ = train(sorted((r["kind"], r["votes"], r["bins"], r["count"]) for r in counted))
     accepted = {(r["kind"], r["votes"], r["bins"]) for r in counted
-                if r["kind"] in BASE or 1 / (1 + np.exp(-_features(r["kind"], r["votes"], r["bins"]) @ weights)) >= threshold}
+                if r["kind"] in BASE or r["votes"][LABELERS.index("checksum")] != "-" and 1 / (1 + np.exp(-_features(r["kind"], r["votes"], r["bins"]) @ weights)) >= threshold}
     extra = sorted(f"{k}{v}{b}" for k, v, b in accepted if k not in BASE)
     ok = lambda s: s["kind"].isin(*BASE) | F.concat(s["kind"], s["votes"], s["bins"].cast("string")).isin(*extra)
     return proposed.withColumn("_spans", F.filter("_spans", ok))
