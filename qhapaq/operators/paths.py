@@ -29,6 +29,44 @@ def distances_to(edges: DataFrame, facilities: DataFrame, weight: str = "w", bro
     return _searched(best, ends)
 
 
+#: Edges per node from which relaxing a node's edges as arrays beats a loop over them.
+WIDE = 24
+
+
+def _narrow(at: int, starts: list[int], to: list[int], w: list[float]) -> dict[int, float]:
+    """Distances from a node, settled one by one from a heap."""
+    known: dict[int, float] = {}
+    heap = [(0.0, at)]
+    while heap:
+        dist, x = heapq.heappop(heap)
+        if x in known:
+            continue
+        known[x] = dist
+        for k in range(starts[x], starts[x + 1]):
+            if to[k] not in known:
+                heapq.heappush(heap, (dist + w[k], to[k]))
+    return known
+
+
+def _wide(at: int, starts: np.ndarray, to: np.ndarray, w: np.ndarray) -> dict[int, float]:
+    """The same where nodes have many edges: only what gets closer is pushed."""
+    best, known = np.full(len(starts) - 1, np.inf), {}
+    best[at], heap = 0.0, [(0.0, at)]
+    while heap:
+        dist, x = heapq.heappop(heap)
+        if x in known:
+            continue
+        known[x] = dist
+        part = slice(starts[x], starts[x + 1])
+        ends, far = to[part], dist + w[part]
+        closer = far < best[ends]
+        ends, far = ends[closer], far[closer]
+        best[ends] = far  # edges are one per pair of nodes
+        for d, y in zip(far.tolist(), ends.tolist()):
+            heapq.heappush(heap, (d, y))
+    return known
+
+
 def _searched(best: DataFrame, ends: DataFrame) -> DataFrame:
     """One heap search per facility, facilities spread over tasks, the graph as broadcast arrays."""
     spark = best.sparkSession
@@ -43,23 +81,15 @@ def _searched(best: DataFrame, ends: DataFrame) -> DataFrame:
 
     def run(parts):
         names, starts, to, w = held.value
-        to_, w_, starts_ = to.tolist(), w.tolist(), starts.tolist()
+        wide = len(to) > WIDE * len(names)
+        to_, w_, starts_ = ([], [], []) if wide else (to.tolist(), w.tolist(), starts.tolist())
         for d in parts:
             for end in d["node"]:
                 at = names.get_indexer([end])[0]
                 if at < 0:
                     yield pd.DataFrame({"src": [end], "node": [end], "distance": [0.0]})
                     continue
-                known: dict[int, float] = {}
-                heap = [(0.0, int(at))]
-                while heap:
-                    dist, x = heapq.heappop(heap)
-                    if x in known:
-                        continue
-                    known[x] = dist
-                    for k in range(starts_[x], starts_[x + 1]):
-                        if to_[k] not in known:
-                            heapq.heappush(heap, (dist + w_[k], to_[k]))
+                known = _wide(int(at), starts, to, w) if wide else _narrow(int(at), starts_, to_, w_)
                 yield pd.DataFrame({"src": names[list(known)], "node": end, "distance": list(known.values())})
 
     n = max(1, min(10_000, ends.count()))

@@ -611,6 +611,16 @@ def od_matrix(spark, d):
     return paths.od_matrix(origins, ends, paths.distances_to(edges, connected), paths.distances_to(far, connected))
 
 
+@query("routing_matrix")
+def routing_matrix(spark, d):
+    """Minutes from every junction of the car graph to every facility, which stand on junctions."""
+    e = graph.edges(_points(spark, d), "car")
+    edges = e.select(F.concat_ws(":", "src.x", "src.y").alias("src"), F.concat_ws(":", "dst.x", "dst.y").alias("dst"), F.col("travel_time").alias("w"))
+    corner = lambda c, base, n: F.round((base + c % n / 100.0) * 1e7).cast("long").cast("string")
+    stands = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat_ws(":", corner(F.col("s_suppkey"), -80.0, 40), corner(F.col("s_suppkey") * 7, -10.0, 30)).alias("node"))
+    return paths.distances_to(edges, stands).withColumn("minutos", F.col("distance") / 60)
+
+
 @query("connected_component", """
 with recursive e as (select c_custkey%97 as a, (c_custkey*7)%53 + 100*(c_custkey%2) as b from customer where c_custkey%3 = 0),
 u as (select a, b from e union select b, a from e),

@@ -251,6 +251,17 @@ def test_paths(spark):
     assert od == {"o1": 3, "o2": None, "o3": None}
 
 
+def test_array_and_loop_searches_agree(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    edges = spark.createDataFrame([(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 40, 900), rng.integers(0, 45, 900), rng.random(900))], "src long, dst long, w double")
+    ends = spark.createDataFrame([(3,), (44,)], "node long")
+    got = [{(r[0], r[1]): r[2] for r in d.collect()} for d in (paths.distances_to(edges, ends), paths.distances_to(edges, ends, broadcast_edges=0))]
+    a = paths._wide(0, np.array([0, 2, 3, 3]), np.array([1, 2, 2]), np.array([1.0, 5.0, 1.0]))
+    assert a == paths._narrow(0, [0, 2, 3, 3], [1, 2, 2], [1.0, 5.0, 1.0]) == {0: 0, 1: 1, 2: 2}
+    assert got[0].keys() == got[1].keys() and all(abs(got[0][k] - got[1][k]) < 1e-12 for k in got[0])
+
+
 def test_scenario_counts_places_without_a_route_in_the_gain_only(spark):
     base = spark.createDataFrame([("p", 10.0, "D"), ("q", 20.0, "D"), ("r", 30.0, "D")], "cod_ccpp string, poblacion double, departamento string")
     m = spark.createDataFrame([("p", "R", 90.0), ("p", "C", 30.0), ("q", "R", None), ("q", "C", 40.0), ("r", "R", 10.0)], "cod_ccpp string, cod_ipress string, duration_min double")
