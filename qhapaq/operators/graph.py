@@ -87,7 +87,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     edges, mark = written(edges.distinct(), "edges"), None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # written, so that the join's two sides are plain shuffles, which Spark can split where a node has very many edges
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "edges-least")
         large = both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter(F.col("a") != F.col("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
