@@ -8,7 +8,8 @@ Documents with equal shingle sets are one class; only class representatives are
 bucket is a candidate with the bucket's hub, which joins nearly all of a group. Members of one bucket that are still in
 different components are then compared: in a small bucket pair by pair, else those outside a main component with all
 others that they meet, block by block. So no pair of a bucket is passed over unless it is connected already, and no group is
-gathered in one task.
+gathered in one task. Aggregates that are joined back are written first: both sides of such a join are then plain
+shuffles, which Spark splits where a key is hot.
 """
 
 from __future__ import annotations
@@ -209,7 +210,7 @@ def _split(buckets: DataFrame, labels: DataFrame, rules: Rules) -> tuple[DataFra
             .agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("m"), F.max("count").alias("top"))
             .filter(F.col("m") > F.col("top")))
     whole = labels.groupBy(F.col("component").alias("main")).agg(F.count("*").alias("whole"))
-    main = main.join(whole, "main", "left").select("bucket", "main", (F.greatest("m", "whole") <= rules.small).alias("few"))
+    main = written(main.join(whole, "main", "left").select("bucket", "main", (F.greatest("m", "whole") <= rules.small).alias("few")), "buckets-main")
     member = written(at.join(main, "bucket"), "buckets-split")
     few = member.filter("few").groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "component")).alias("x"))
     few = few.select("x", F.explode("x").alias("p")).select("p", F.explode("x").alias("q")).filter(
@@ -261,7 +262,7 @@ def block_links(left: np.ndarray, right: np.ndarray, component: np.ndarray, size
 
 def _met(meeting: DataFrame, docs: DataFrame, reps: DataFrame, rules: Rules) -> DataFrame:
     """Links (a, b) among the members that meet under a main component, in blocks of bounded size."""
-    counts = meeting.groupBy("main").agg(F.count("*").alias("m"), F.count_if(F.col("component") != F.col("main")).alias("r"))
+    counts = written(meeting.groupBy("main").agg(F.count("*").alias("m"), F.count_if(F.col("component") != F.col("main")).alias("r")), "meeting-sizes")
     part = lambda n: F.ceil(F.col(n) / rules.block).cast("int")
     sets = _sets(docs, meeting.select("doc_id").distinct(), rules, "doc_id", "text").dropDuplicates(["doc_id"])
     rows = (meeting.join(counts.select("main", part("m").alias("m"), part("r").alias("r")), "main")
@@ -315,7 +316,7 @@ def _near(docs: DataFrame, reps: DataFrame, rules: Rules) -> DataFrame:
     """Confirmed links (a, b) that connect what is similar among class representatives."""
     member = reps.select("doc_id", F.explode("bands").alias("bucket"))
     hub = F.min_by("doc_id", F.xxhash64("doc_id", "bucket"))  # another one in each band
-    buckets = member.groupBy("bucket").agg(hub.alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    buckets = written(member.groupBy("bucket").agg(hub.alias("hub"), F.count("*").alias("n")).filter("n > 1"), "buckets-shared")
     in_bucket = written(member.join(buckets, "bucket"), "buckets")
     pairs = in_bucket.select(*_ordered(F.col("doc_id"), F.col("hub"))).filter(F.col("a") != F.col("b")).distinct()
     pairs = written(_sketched(pairs, reps, rules), "pairs")
