@@ -71,7 +71,7 @@ def _searched(best: DataFrame, ends: DataFrame) -> DataFrame:
     """One heap search per facility, facilities spread over tasks, the graph as broadcast arrays."""
     spark = best.sparkSession
     ship(spark)
-    table = best.select("src", "dst", "w").toPandas()
+    table = best.select("src", "dst", "w").toArrow().to_pandas()
     names = pd.Index(pd.unique(pd.concat([table["src"], table["dst"]], ignore_index=True)))
     a, b = names.get_indexer(table["dst"]), names.get_indexer(table["src"])  # reversed
     order = np.argsort(a, kind="stable")
