@@ -13,7 +13,7 @@ from qhapaq.shared import ship, written
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality rules reject."""
     judged = quality.judge(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return judged.filter("kept").select(*docs.columns)
+    return judged.filter("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,16 +23,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put [SECRET] in the place of every secret."""
-    cleaned = secret_scan.scan(docs, redact="[SECRET]").drop("_findings")
+    cleaned = secret_scan.scan(docs, redact="[SECRET]").select("row.*")
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mix sources to weights 3, 1, 2, repeating; a document taken more than once is there as many times."""
     _, mixed = mixing.mix(docs, mixing.in_turn(3, 1, 2))
-    times = F.when(F.col("_size") > 0, F.round(F.col("_taken") / F.col("_size")).cast("int")).otherwise(0)
-    return (mixed.withColumn("_times", times).filter("_times > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns))
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(0)
+    return (mixed.select("row", times.alias("times")).filter("times > 0")
+            .select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,26 @@ import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ROWS = 512
 
 
+def named(column: str) -> F.Column:
+    """A column by its exact name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def as_row(docs: DataFrame, keep: list[str] | None = None, **needed: str) -> DataFrame:
+    """A struct column row of the columns keep (all, if None), and the needed columns under the given names.
+
+    What operators add stands beside row, so no column of docs can clash with it; select("row.*") gives the rows back.
+    """
+    keep = docs.columns if keep is None else keep
+    return docs.select(F.struct(*map(named, keep)).alias("row"), *[named(c).alias(name) for name, c in needed.items()])
+
+
 def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in slices of ROWS rows; at the end freed memory goes back to the system, as workers are kept."""
     for b in batches:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qhapaq.llm.batches import steps
+from qhapaq.llm.batches import named, steps
 from qhapaq.operators.graph import components
 from qhapaq.shared import written
 
@@ -353,9 +353,10 @@ def one_of_each(docs: DataFrame, rules: Rules | None = None, *, doc_id: str = "d
     doc_id one. All columns stay. Rows without shingles or without a doc_id are in no group and stay."""
     found = linked(docs, rules, doc_id=doc_id, text=text)
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct()
-    left = docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+    columns = [named(c) for c in docs.columns]
+    left = docs.join(gone, doc_id, "left_anti").select(*columns)
     again = written(found.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy(F.col("doc_id").alias(doc_id)).count().filter("count > 1").select(doc_id), "repeated")
     if again.isEmpty():
         return left
     once = left.join(again, doc_id, "left_semi").dropDuplicates([doc_id])
-    return left.join(again, doc_id, "left_anti").unionByName(once.select(*docs.columns))
+    return left.join(again, doc_id, "left_anti").select(*columns).unionByName(once.select(*columns))

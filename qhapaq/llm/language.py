@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qhapaq.llm.batches import steps
+from qhapaq.llm.batches import as_row, steps
 
 UNKNOWN = "und"
 
@@ -100,23 +100,21 @@ def trained(docs: DataFrame, rules: Rules | None = None, *, where: Column | None
 
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (all, if None) with lang_pred, score and rejected, from the whole text alone; no shuffle.
+    """row (a struct of the columns keep, all if None), lang_pred, score and rejected, from the whole text; no shuffle.
 
     score is the best language's probability; rejected says that it is below the model's limit. Defined cases: a null
     text, one without letters, or a model that learned nothing give "und", score 0, rejected; ties go to the language
-    that sorts first; repeated rows are predicted each; an empty table gives no rows; other columns pass through.
+    that sorts first; repeated rows are predicted each; an empty table gives no rows; other columns stay in row.
     """
-    keep = docs.columns if keep is None else keep
-    rows = docs.select(*keep, *([] if text in keep else [text]))
-    at = rows.columns.index(text)
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()),
+    rows = as_row(docs, keep, text=text)
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = model.compressors()
         for b in steps(batches):
             best, score = [], []
-            for t in b.column(at):
+            for t in b.column(1):
                 t = t.as_py()
                 if not made or not t or not any(map(str.isalpha, t)):
                     best.append(UNKNOWN)
@@ -126,7 +124,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str
                 i = int(p.argmax())
                 best.append(model.languages[i])
                 score.append(float(p[i]))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(best, pa.string()), pa.array(score, pa.float64()),
-                                              pa.array([s < model.reject for s in score], pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()),
+                                              pa.array([s < model.reject for s in score], pa.bool_())], ["row", "lang_pred", "score", "rejected"])
 
     return rows.mapInArrow(run, schema)

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from qhapaq.llm.batches import as_row
 from qhapaq.shared import written
 
 Source = str | None
@@ -116,15 +117,16 @@ def plan(capacity: dict[tuple[Source, ...], int], weigh: Callable[[list[Source]]
     return Plan(sources, sizes, goal, {p: sum(f.values()) for p, f in flow.items()}, capacity)
 
 
-def sized(docs: DataFrame, seed: int, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """docs with _size (words; null text 0), _pattern (sorted sources, null last) and _order (seeded hash)."""
+def sized(docs: DataFrame, seed: int, keep: list[str] | None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """row with _size (words; null text 0), _pattern (sorted sources, null last) and _order (seeded hash)."""
     kind = dict(docs.dtypes)[source]
-    pattern = F.array_distinct(F.col(source)) if kind.startswith("array") else F.array(F.col(source).cast("string"))
+    rows = as_row(docs, keep, _id=doc_id, _text=text, _source=source)
+    pattern = F.array_distinct(F.col("_source")) if kind.startswith("array") else F.array(F.col("_source").cast("string"))
     pattern = F.concat(F.array_sort(F.filter(pattern, lambda s: s.isNotNull())), F.filter(pattern, lambda s: s.isNull()))
     pattern = F.when(F.size(F.coalesce(pattern, F.array())) == 0, F.array(F.lit(None).cast("string"))).otherwise(pattern)
-    return docs.withColumns({
-        "_size": F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
-        "_pattern": pattern, "_order": F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"))})
+    return rows.select("row", *[c.alias(name) for name, c in {
+        "_size": F.coalesce(F.regexp_count(F.col("_text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
+        "_pattern": pattern, "_order": F.xxhash64(F.lit(seed), F.col("_id").cast("string"))}.items()])
 
 
 def _bucket(level: int) -> F.Column:
@@ -175,22 +177,19 @@ def _taken(rows: DataFrame, at: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weigh: Callable[[list[Source]], Sequence[float]], *, share: float = 1.5, repeats: int = 2, seed: int = 17,
         doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None) -> tuple[Plan, DataFrame]:
-    """The plan, and the columns keep (all, if None) with _size, _pattern and _taken (words, repeats counted).
+    """The plan, and row (a struct of the columns keep, all if None), size, pattern and taken (words, repeats counted).
 
     source is a string or an array of strings. Sizes are written once to the shared folder and all counting reads
     them; no group of rows is gathered but the last bucket of each pattern, about a millionth of its documents. The
     document at the edge is taken in part, so patterns give what the flow asks to the word. Defined cases: a null text
     has size 0 and is taken 0 times; null and empty sources are one source, null; repeated rows count and are taken
-    each; ties of the hash go by size; an empty table gives an empty plan and no rows; other columns pass through.
+    each; ties of the hash go by size; an empty table gives an empty plan and no rows; other columns stay in row.
     """
-    keep = docs.columns if keep is None else keep
-    sizes = written(sized(docs, seed, doc_id, text, source).select(F.col(doc_id).alias("_id"), "_size", "_pattern", "_order"), "mix")
+    slim = keep == [doc_id]
+    sizes = written(sized(docs, seed, [doc_id], doc_id, text, source), "mix")
     made, at = _planned(sizes, weigh, share, repeats)
-    if keep == [doc_id]:
-        rows = sizes.withColumnRenamed("_id", doc_id)
-    else:
-        rows = sized(docs, seed, doc_id, text, source)
-    return made, _taken(rows, at).select(*keep, "_size", "_pattern", "_taken")
+    rows = sizes if slim else sized(docs, seed, keep, doc_id, text, source)
+    return made, _taken(rows, at).select("row", F.col("_size").alias("size"), F.col("_pattern").alias("pattern"), F.col("_taken").alias("taken"))
 
 
 def in_turn(*weights: float) -> Callable[[list[Source]], list[float]]:

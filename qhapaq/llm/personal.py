@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qhapaq.llm.batches import steps
+from qhapaq.llm.batches import as_row, steps
 from qhapaq.shared import written
 
 BASE = ("email", "ip", "card", "phone")
@@ -216,43 +216,41 @@ def _spans(text: str | None) -> list[dict]:
 
 
 def propose(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (all, if None) and _spans with each span's votes and feature bins; one pass, no shuffle."""
-    keep = docs.columns if keep is None else keep
-    rows = docs.select(*keep, *([] if text in keep else [text]))
-    at = rows.columns.index(text)
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("_spans", T.ArrayType(_SPAN))])
+    """row (a struct of the columns keep, all if None) and found: spans with votes and feature bins. One pass, no shuffle."""
+    rows = as_row(docs, keep, text=text)
+    schema = T.StructType([rows.schema["row"], T.StructField("found", T.ArrayType(_SPAN))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            found = pa.array([_spans(t.as_py()) for t in b.column(at)], _ARROW_SPANS)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], found], [*keep, "_spans"])
+            found = pa.array([_spans(t.as_py()) for t in b.column(1)], _ARROW_SPANS)
+            yield pa.RecordBatch.from_arrays([b.column(0), found], ["row", "found"])
 
     return rows.mapInArrow(run, schema)
 
 
 def find(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, threshold: float = 0.8) -> DataFrame:
-    """The columns keep (all, if None) and _spans, the accepted spans by kind, then start, of every whole text.
+    """row (a struct of the columns keep, all if None) and found, the accepted spans by kind, then start, of whole texts.
 
     The first pass writes each row's spans to the shared folder (a small fraction of the texts); vote and feature
     patterns, at most 9 * 3**6 * 64 of them whatever the corpus, are counted over all rows and brought to the driver to
     train; the second pass scores what was written. A proposed span that fails its checksum is never accepted. Offsets are code points, ends exclusive. Defined cases: a null text
-    has no spans; repeated rows are read each; an empty table gives no rows; other columns pass through.
+    has no spans; repeated rows are read each; an empty table gives no rows; other columns stay in row.
     """
     proposed = written(propose(docs, text=text, keep=keep), "personal")
-    one = proposed.select(F.explode("_spans").alias("s"))
+    one = proposed.select(F.explode("found").alias("s"))
     counted = one.groupBy("s.kind", "s.votes", "s.bins").count().collect()
     weights, _ = train(sorted((r["kind"], r["votes"], r["bins"], r["count"]) for r in counted))
     accepted = {(r["kind"], r["votes"], r["bins"]) for r in counted
                 if r["kind"] in BASE or r["votes"][LABELERS.index("checksum")] != "-" and 1 / (1 + np.exp(-_features(r["kind"], r["votes"], r["bins"]) @ weights)) >= threshold}
     extra = sorted(f"{k}{v}{b}" for k, v, b in accepted if k not in BASE)
     ok = lambda s: s["kind"].isin(*BASE) | F.concat(s["kind"], s["votes"], s["bins"].cast("string")).isin(*extra)
-    return proposed.withColumn("_spans", F.filter("_spans", ok))
+    return proposed.withColumn("found", F.filter("found", ok))
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts by fixed kind, base_sha256 and spans from _spans."""
-    spans = F.col("_spans")
+    """row's columns with counts by fixed kind, base_sha256 and spans from found."""
+    spans = F.col("found")
     joined = lambda fs: F.array_join(F.transform(fs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of = lambda kind: F.filter(spans, lambda s: s["kind"] == kind)
-    return found.withColumns({f"n_{k}": F.size(of(k)).cast("long") for k in BASE} | {
-        "base_sha256": F.sha2(joined(F.filter(spans, lambda s: s["kind"].isin(*BASE))), 256), "spans": joined(spans)}).drop("_spans")
+    base = F.sha2(joined(F.filter(spans, lambda s: s["kind"].isin(*BASE))), 256)
+    return found.select("row.*", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE], base.alias("base_sha256"), joined(spans).alias("spans"))

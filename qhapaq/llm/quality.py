@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qhapaq.llm.batches import steps
+from qhapaq.llm.batches import as_row, steps
 from qhapaq.shared import written
 
 #: The six blanks that part words, and the characters that count as symbols.
@@ -115,28 +115,27 @@ def _measures(text: str | None, model_path: str, rules: Rules) -> tuple:
             float(is_byte[ids].mean()) if len(ids) else None, float(-(p * np.log2(p)).sum()) if len(ids) else None, script_of(text))
 
 
-def measure(docs: DataFrame, model_path: str, rules: Rules, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (all, if None) and a struct _measures for each row, in one pass without a shuffle."""
-    keep = docs.columns if keep is None else keep
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("_measures", MEASURES)])
-    rows = docs.select(*keep, F.col(text).alias("_text")) if text not in keep else docs.select(*keep)
-    at = rows.columns.index("_text" if text not in keep else text)
+def measure(docs: DataFrame, model_path: str, rules: Rules, *, text: str = "text", lang: str | None = "lang", keep: list[str] | None = None) -> DataFrame:
+    """row (a struct of the columns keep, all if None), lang and a struct measures; one pass without a shuffle."""
+    rows = as_row(docs, keep, text=text, **({"lang": lang} if lang else {}))
+    rows = rows if lang else rows.withColumn("lang", F.lit(None).cast("string"))
+    schema = T.StructType([rows.schema["row"], rows.schema["lang"], T.StructField("measures", MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            found = [dict(zip(MEASURES.names, _measures(t.as_py(), model_path, rules))) for t in b.column(at)]
+            found = [dict(zip(MEASURES.names, _measures(t.as_py(), model_path, rules))) for t in b.column(1)]
             kind = pa.struct([(f.name, {"bigint": pa.int64(), "double": pa.float64()}.get(f.dataType.simpleString(), pa.string())) for f in MEASURES])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(found, kind)], [*keep, "_measures"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, kind)], ["row", "lang", "measures"])
 
     return rows.mapInArrow(run, schema)
 
 
-def bands(measured: DataFrame, rules: Rules, lang: str | None = "lang") -> DataFrame:
+def bands(measured: DataFrame, rules: Rules) -> DataFrame:
     """low and high bounds of the measures by (_group, _class), from all measured documents of enough words."""
-    m = F.col("_measures")
+    m = F.col("measures")
     q = [F.percentile_approx(m[c], F.array(F.lit(0.25), F.lit(0.75)), F.lit(2000)).alias(c)
          for c in ("chars_per_token", "byte_share", "token_entropy")]
-    found = (_grouped(measured, lang).filter((m["n_words"] >= rules.least_words) & (m["n_tokens"] > 0))
+    found = (_grouped(measured).filter((m["n_words"] >= rules.least_words) & (m["n_tokens"] > 0))
              .groupBy("_group", "_class").agg(F.count("*").alias("_n"), *q).filter(F.col("_n") >= rules.support))
 
     def room(c: str, least: F.Column) -> F.Column:
@@ -150,10 +149,9 @@ def bands(measured: DataFrame, rules: Rules, lang: str | None = "lang") -> DataF
                         (F.col("token_entropy")[0] - entropy).alias("_low_entropy"))
 
 
-def _grouped(measured: DataFrame, lang: str | None) -> DataFrame:
-    script = F.concat(F.lit("script:"), F.col("_measures.script"))
-    group = F.coalesce(F.concat(F.lit("lang:"), F.col(lang)), script) if lang else script
-    return measured.withColumns({"_group": group, "_class": F.floor(F.log2(F.greatest(F.col("_measures.n_tokens"), F.lit(1))))})
+def _grouped(measured: DataFrame) -> DataFrame:
+    group = F.coalesce(F.concat(F.lit("lang:"), F.col("lang").cast("string")), F.concat(F.lit("script:"), F.col("measures.script")))
+    return measured.withColumns({"_group": group, "_class": F.floor(F.log2(F.greatest(F.col("measures.n_tokens"), F.lit(1))))})
 
 
 #: Bands are broadcast up to so many; more (which would take thousands of languages) are joined by shuffle.
@@ -162,25 +160,23 @@ BROADCAST_BANDS = 20_000
 
 def judge(docs: DataFrame, model_path: str, rules: Rules | None = None, *, text: str = "text", lang: str | None = "lang",
           keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (all, if None) with struct _measures, boolean base_failed and boolean kept.
+    """row (a struct of the columns keep, all if None), struct measures, boolean base_failed and boolean kept.
 
     base_failed: fewer than least_words words, or over repeat_percent of the words in repeated windows. kept: not
     base_failed and inside the bands of its group. The measured rows are written once to the shared folder, since the
     bands need them all before any can be judged. Defined cases: a null or empty text has no words and fails; equal
     rows get equal verdicts; a null language is replaced by the script; an empty table gives no rows; other columns
-    pass through untouched (names beginning with _ are this operator's).
+    stay in row untouched.
     """
     rules = rules or Rules()
-    columns = docs.columns if keep is None else keep
-    carried = columns if lang is None or lang in columns else [*columns, lang]
-    measured = written(measure(docs, model_path, rules, text=text, keep=carried), "quality")
-    limits = written(bands(measured, rules, lang), "quality-bands")
+    measured = written(measure(docs, model_path, rules, text=text, lang=lang, keep=keep), "quality")
+    limits = written(bands(measured, rules), "quality-bands")
     if limits.count() <= BROADCAST_BANDS:
         limits = F.broadcast(limits)
-    m = F.col("_measures")
+    m = F.col("measures")
     failed = (m["n_words"] < rules.least_words) | (100 * m["n_repeat_words"] > rules.repeat_percent * m["n_words"])
     inside = ((m["n_tokens"] == 0) | (F.col("_low_chars").isNull()) | (
         m["chars_per_token"].between(F.col("_low_chars"), F.col("_high_chars")) & (m["byte_share"] <= F.col("_high_bytes"))
         & (m["token_entropy"] >= F.col("_low_entropy"))))
-    return (_grouped(measured, lang).join(limits, ["_group", "_class"], "left")
-            .withColumns({"base_failed": failed, "kept": ~failed & inside}).select(*columns, "_measures", "base_failed", "kept"))
+    return (_grouped(measured).join(limits, ["_group", "_class"], "left")
+            .withColumns({"base_failed": failed, "kept": ~failed & inside}).select("row", "measures", "base_failed", "kept"))

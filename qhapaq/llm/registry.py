@@ -21,10 +21,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 3, 1, 2, repeating, at 150% of all words."""
     made, mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), mixing.in_turn(3, 1, 2), keep=["doc_id"])
     goals = spark.createDataFrame([([s], n, t) for s, n, t in zip(made.sources, made.sizes, made.targets)],
-                                  "_pattern array<string>, source_size long, target double")
+                                  "pattern array<string>, source_size long, target double")
     if len(made.sources) <= mixing.MOST_PATTERNS:
         goals = F.broadcast(goals)
-    return mixed.join(goals, "_pattern").select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"))
+    return mixed.join(goals, "pattern").select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
     model = language.trained(docs, where=~F.coalesce(held_out, F.lit(False)))
     found = language.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("row.doc_id", "lang_pred", "score", "rejected").select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     judged = quality.judge(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
-    return judged.select("doc_id", *[f"_measures.{c}" for c in quality.MEASURES.names], "base_failed", "kept")
+    return judged.select("row.doc_id", *[f"measures.{c}" for c in quality.MEASURES.names], "base_failed", "kept")
 
 
 OP6_SQL = r"""

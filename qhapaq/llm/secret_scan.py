@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qhapaq.llm.batches import steps
+from qhapaq.llm.batches import as_row, steps
 
 #: The patterns of the three kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -266,34 +266,36 @@ def _redacted(text: str | None, found: list[dict], mark: str) -> str | None:
 
 def scan(docs: DataFrame, net: CharNet | None = None, *, text: str = "text", keep: list[str] | None = None,
          redact: str | None = None) -> DataFrame:
-    """The columns keep (all, if None) and _findings, array<struct<start,kind,end,score>>, of every whole text.
+    """row (a struct of the columns keep, all if None) and findings, array<struct<start,kind,end,score>>, of whole texts.
 
-    With redact, findings in the kept text column are replaced by that mark. One pass without a shuffle; the model is
+    With redact, findings in row's text are replaced by that mark. One pass without a shuffle; the model is
     a few kilobytes in the closure. Offsets are code points, ends exclusive. Defined cases: a null text has no
-    findings and stays null; repeated rows are scanned each; an empty table gives no rows; other columns pass through.
+    findings and stays null; repeated rows are scanned each; an empty table gives no rows; other columns stay in row.
     """
     net = net or rule_trained()
-    keep = docs.columns if keep is None else keep
-    rows = docs.select(*keep, *([] if text in keep else [text]))
-    at = rows.columns.index(text)
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("_findings", FINDINGS)])
+    rows = as_row(docs, keep, text=text)
+    schema = T.StructType([*rows.schema.fields, T.StructField("findings", FINDINGS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            texts = b.column(at).to_pylist()
+            texts = b.column(1).to_pylist()
             found = _scan([t or "" for t in texts], net)
-            columns = b.columns[: len(keep)]
-            if redact is not None and at < len(keep):
-                columns[at] = pa.array([_redacted(t, f, redact) for t, f in zip(texts, found)], b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _ARROW)], [*keep, "_findings"])
+            if redact is None:
+                clean = pa.nulls(len(texts), b.schema.field(1).type)
+            else:
+                clean = pa.array([_redacted(t, f, redact) for t, f in zip(texts, found)], b.schema.field(1).type)
+            yield pa.RecordBatch.from_arrays([b.column(0), clean, pa.array(found, _ARROW)], ["row", "text", "findings"])
 
-    return rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(run, schema)
+    if redact is not None:
+        out = out.withColumn("row", F.col("row").withField("`" + text.replace("`", "``") + "`", F.col("text")))
+    return out.select("row", "findings")
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """Counts by kind, base_sha256 and spans from _findings."""
-    found = F.col("_findings")
+    """row's columns with counts by kind, base_sha256 and spans from findings."""
+    found = F.col("findings")
     of = lambda kind: F.filter(found, lambda f: f["kind"] == kind)
     joined = lambda fs: F.array_join(F.transform(fs, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
-    return scanned.withColumns({f"n_{k}": F.size(of(k)).cast("long") for k in KINDS} | {
-        "base_sha256": F.sha2(joined(F.filter(found, lambda f: f["kind"] != "model")), 256), "spans": joined(found)}).drop("_findings")
+    base = F.sha2(joined(F.filter(found, lambda f: f["kind"] != "model")), 256)
+    return scanned.select("row.*", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS], base.alias("base_sha256"), joined(found).alias("spans"))

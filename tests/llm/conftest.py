@@ -17,7 +17,8 @@ def odd(spark):
             (8, "日本語のテキスト。\n" * 40, "ja", "c", 9), (9, "mail me: a.b@c.example.org <|endoftext|> token = 'abcdef123456'", "en", "b", 10), (10, "\x00\x1c\x85 ok", "en", "b", 11)]
     plain = spark.createDataFrame(rows, SCHEMA)
     from pyspark.sql import functions as F
-    return plain.withColumns({c: F.lit("clash") for c in ("size", "n_tokens", "taken", "_extra", "score", "kept", "count", "bucket", "component", "rank")})
+    return plain.withColumns({c: F.lit("clash") for c in ("size", "n_tokens", "taken", "_size", "_taken", "_text", "row", "findings", "found", "measures", "_group", "score", "kept", "count", "bucket",
+                                                         "component", "component_id", "n_shingles", "rank", "times", "pattern", "_left", "lang_pred", "b.c")})
 
 
 @pytest.fixture(scope="session")

@@ -25,10 +25,10 @@ def model(spark):
 
 def test_odd_rows(odd, none, model, spark):
     assert model.languages == ("de", "en")
-    got = language.predict(odd.drop("score"), model)
+    got = language.predict(odd, model)
     assert got.count() == odd.count()
     for r in got.collect():
-        blank = not any(map(str.isalpha, r["text"] or ""))
+        blank = not any(map(str.isalpha, r["row"]["text"] or ""))
         assert (r["lang_pred"] == "und" and r["score"] == 0 and r["rejected"]) if blank else r["lang_pred"] in model.languages
     assert language.predict(none, model).count() == 0
     nothing = language.trained(none)
@@ -37,7 +37,7 @@ def test_odd_rows(odd, none, model, spark):
 
 def test_narrow_margins_are_rejected(spark, model):
     rows = spark.createDataFrame([(1, "the dog and the cat of the house and the dog"), (2, "zq")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in language.predict(rows, model).collect()}
+    got = {r["row"]["doc_id"]: r for r in language.predict(rows, model).collect()}
     assert got[1]["lang_pred"] == "en" and not got[1]["rejected"] and got[2]["rejected"]
 
 

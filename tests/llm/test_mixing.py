@@ -39,10 +39,10 @@ def test_query_meets_targets_and_reruns_agree(spark, documents):
 def test_odd_rows(odd, none):
     plan, mixed = mixing.mix(odd, mixing.in_turn(3, 1, 2))
     rows = mixed.collect()
-    assert plan.sources == ["a", "b", "c", None] and len(rows) == odd.count() and set(odd.columns) < set(mixed.columns)
-    assert all(r["_size"] == 0 and r["_taken"] == 0 for r in rows if not (r["text"] or "").strip())
+    assert plan.sources == ["a", "b", "c", None] and len(rows) == odd.count() and mixed.select("row.*").columns == odd.columns
+    assert all(r["size"] == 0 and r["taken"] == 0 for r in rows if not (r["row"]["text"] or "").strip())
     for s, target in zip(plan.sources, plan.targets):
-        assert sum(r["_taken"] for r in rows if r["source"] == s) == pytest.approx(target, abs=1)
+        assert sum(r["taken"] for r in rows if r["row"]["source"] == s) == pytest.approx(target, abs=1)
     assert mixing.mix(none, mixing.in_turn(1))[1].count() == 0
 
 
@@ -50,8 +50,8 @@ def test_overlapping_sources(spark):
     rows = [(i, "w " * 10, ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b", "b"]) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
     plan, mixed = mixing.mix(docs, mixing.in_turn(1, 3), share=1.0)
-    assert mixed.agg(F.sum("_taken")).first()[0] == pytest.approx(sum(plan.targets), abs=2)
-    assert {tuple(r["_pattern"]) for r in mixed.collect()} == {("a",), ("b",), ("a", "b")}
+    assert mixed.agg(F.sum("taken")).first()[0] == pytest.approx(sum(plan.targets), abs=2)
+    assert {tuple(r["pattern"]) for r in mixed.collect()} == {("a",), ("b",), ("a", "b")}
 
 
 def test_too_many_patterns_raise(spark, monkeypatch):

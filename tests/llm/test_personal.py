@@ -56,12 +56,12 @@ def test_proposed_spans_and_checks(spark):
     assert found[0] == [("at_email", "jane.doe [at] mail.example [dot] com"), ("local_phone", "(275) 555-5927")]
     assert found[1] == [("social", "123-45-6789")] and found[2] == [("account", "DE89 3704 0044 0532 0130 00")] and found[3] == [("person", "Maria Lopez")] and found[4] == []
     rows = spark.createDataFrame(list(enumerate(texts * 20)), "doc_id long, text string")
-    got = {r["doc_id"]: {s["kind"] for s in r["_spans"]} for r in personal.find(rows).collect()}
+    got = {r["row"]["doc_id"]: {s["kind"] for s in r["found"]} for r in personal.find(rows).collect()}
     assert "account" in got[2] and "social" in got[1] and "social" not in got[5]
 
 
 def test_odd_rows(odd, none):
     got = personal.find(odd)
-    assert got.columns == [*odd.columns, "_spans"] and got.count() == odd.count()
+    assert got.select("row.*").columns == odd.columns and got.count() == odd.count()
     assert personal.digest(personal.find(odd, keep=["doc_id"])).filter("doc_id = 9").first()["n_email"] == 1
     assert personal.find(none).count() == 0

@@ -42,8 +42,8 @@ def test_small_texts(text):
 def test_bands_reject_noise_and_keep_prose(spark):
     prose = [(i, " ".join(f"{a}{b}" for a, b in zip(["the river", "some people", "an old road", "many small towns"] * 10, [f" near place {(i * 7 + k) % 97}" for k in range(40)])), "en") for i in range(60)]
     noise = [(900, " ".join(chr(0x10A60 + (k * 7) % 29) * 6 for k in range(70)), "en"), (901, " ".join("qzxj"[k % 4] * (3 + k % 9) + "#" * (k % 5) for k in range(60)), "en")]
-    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(prose + noise, "doc_id long, text string, lang string"), MODEL).collect()}
-    assert all(got[i]["kept"] for i, *_ in prose) and not got[900]["kept"] and got[900]["_measures"]["byte_share"] > 0.5
+    got = {r["row"]["doc_id"]: r for r in quality.judge(spark.createDataFrame(prose + noise, "doc_id long, text string, lang string"), MODEL).collect()}
+    assert all(got[i]["kept"] for i, *_ in prose) and not got[900]["kept"] and got[900]["measures"]["byte_share"] > 0.5
 
 
 def test_scripts():
@@ -51,7 +51,7 @@ def test_scripts():
 
 
 def test_odd_rows(odd, none):
-    got = quality.judge(odd.drop("kept"), MODEL)
-    assert got.count() == odd.count() and not got.filter("text is null").first()["kept"]
+    got = quality.judge(odd, MODEL)
+    assert got.count() == odd.count() and not got.filter("row.text is null").first()["kept"] and got.select("row.*").columns == odd.columns
     assert quality.judge(none, MODEL).count() == 0
-    assert quality.judge(odd.drop("kept", "lang"), MODEL, lang=None).count() == odd.count()
+    assert quality.judge(odd.drop("lang"), MODEL, lang=None).count() == odd.count()

@@ -45,15 +45,15 @@ def test_query(spark):
 def test_model_adds_and_redacts(spark):
     secret = "kT9xQ2vLm84ZrWpA7sYc1dNf"
     rows = spark.createDataFrame([(1, f"deploy key {secret} was sent"), (2, "plain words only, nothing else 2024"), (3, "token: abcdef123 and AKIA" + "A1" * 8)], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in secret_scan.scan(rows, redact="[SECRET]").collect()}
-    assert got[1]["text"] == "deploy key [SECRET] was sent" and [f["kind"] for f in got[1]["_findings"]] == ["model"]
+    got = {r["doc_id"]: r for r in secret_scan.scan(rows, redact="[SECRET]").select("row.*", "findings").collect()}
+    assert got[1]["text"] == "deploy key [SECRET] was sent" and [f["kind"] for f in got[1]["findings"]] == ["model"]
     assert got[2]["text"] == "plain words only, nothing else 2024" and got[3]["text"] == "[SECRET] and [SECRET]"
 
 
 def test_odd_rows(odd, none):
     got = secret_scan.scan(odd)
-    assert got.columns == [*odd.columns, "_findings"] and got.count() == odd.count()
-    assert got.filter("text is null").select(F.size("_findings")).first()[0] == 0
+    assert got.select("row.*").columns == odd.columns and got.count() == odd.count()
+    assert got.filter("row.text is null").select(F.size("findings")).first()[0] == 0
     assert secret_scan.digest(secret_scan.scan(odd, keep=["doc_id"])).filter("doc_id = 9").first()["n_assign"] == 1
     assert secret_scan.scan(none).count() == 0
-    assert secret_scan.scan(odd, redact="x").filter("text is null").count() == 1
+    assert secret_scan.scan(odd, redact="x").filter("row.text is null").count() == 1
