@@ -11,6 +11,7 @@ from qhapaq.config import SETTINGS, Settings
 from qhapaq.functions import labels
 from qhapaq.functions.text import padded
 from qhapaq.operators.ordered import averaged_ranks, greatest_rows, running_sums
+from qhapaq.shared import written
 
 TIME, PEOPLE = "t_min", "poblacion"
 
@@ -162,7 +163,7 @@ def altitude_strips(base: DataFrame) -> DataFrame:
 
 def spearman(base: DataFrame, one: str = TIME, other: str = "altitud_m", places: int = 4) -> DataFrame:
     """Rank correlation over the rows that have both values; ties share their mean rank."""
-    rows = base.filter(F.col(one).isNotNull() & F.col(other).isNotNull()).select(one, other)
+    rows = written(base.filter(F.col(one).isNotNull() & F.col(other).isNotNull()).select(one, other), "pairs")
     ranks = lambda c, n: averaged_ranks(rows, c).withColumnRenamed("rank", n)
     both = rows.join(ranks(one, "_a"), one).join(ranks(other, "_b"), other)
     return both.agg(F.round(F.corr("_a", "_b"), places).alias("spearman"), F.count("*").alias("n"))

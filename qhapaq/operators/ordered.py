@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qhapaq.shared import written
+
 #: Ranges of a group. Their number does not change a result, only how finely a group is spread.
 RANGES = 64
 
@@ -20,9 +22,10 @@ def running_sums(rows: DataFrame, groups: Sequence[str], order: str, sums: dict[
     """rows with a running sum of each column sums[name] as name, from a group's least order up to and with the row.
 
     order must not be null, and one row at most may have an order in a group (sum ties up before). Null group values
-    are groups of their own. One shuffle by group and range follows the quantiles' pre-aggregated pass.
+    are groups of their own. rows are read three times (quantiles, sums of ranges, the ranges themselves), so they are written
+    to the shared folder first; then they are shuffled once, by group and range.
     """
-    keys = list(groups)
+    keys, rows = list(groups), written(rows, "ordered")
     cuts = [i / RANGES for i in range(1, RANGES)]
     named = [F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)]
     edges = rows.groupBy(*named).agg(F.percentile_approx(order, F.array(*map(F.lit, cuts)), F.lit(10_000)).alias("_edges"))
