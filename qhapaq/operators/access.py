@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qhapaq.config import SETTINGS, Settings
+from qhapaq.operators.ordered import quantiles
+from qhapaq.shared import written
 
 KEY = ("cod_ccpp", "cod_ipress", "profile")
 
@@ -56,9 +58,9 @@ def unroutable(access: DataFrame) -> DataFrame:
 
 def profile_summary(access: DataFrame) -> DataFrame:
     """Median, 90th percentile and greatest minutes by profile, over routable origins."""
-    return access.filter("routable").groupBy("profile").agg(
-        F.count("*").alias("n"), F.median("duration_min").alias("mediana"), F.percentile("duration_min", F.lit(0.9)).alias("p90"),
-        F.max("duration_min").alias("maximo"))
+    rows = written(access.filter("routable").select("profile", "duration_min"), "routable")
+    sums = rows.groupBy("profile").agg(F.count("*").alias("n"), F.max("duration_min").alias("maximo"))
+    return sums.join(quantiles(rows, ["profile"], "duration_min", {"mediana": 0.5, "p90": 0.9}), "profile").select("profile", "n", "mediana", "p90", "maximo")
 
 
 def mode_comparison(access: DataFrame, one: str = "car", other: str = "foot") -> DataFrame:
@@ -67,8 +69,10 @@ def mode_comparison(access: DataFrame, one: str = "car", other: str = "foot") ->
     wide = access.filter(F.col("profile").isin(one, other)).groupBy("cod_ccpp").agg(
         of(one, "cod_destino_cercano").alias("a"), of(other, "cod_destino_cercano").alias("b"),
         of(one, "duration_min").alias("x"), of(other, "duration_min").alias("y"))
-    return wide.agg(F.round(100 * F.avg((F.col("a") != F.col("b")).cast("int")), 1).alias("pct_destino_distinto"),
-                    F.round(F.median(F.try_divide("y", F.nullif("x", F.lit(0.0)))), 1).alias("razon_mediana"))
+    wide = written(wide.select((F.col("a") != F.col("b")).cast("int").alias("differs"), F.try_divide("y", F.nullif("x", F.lit(0.0))).alias("ratio")), "modes")
+    share = wide.agg(F.round(100 * F.avg("differs"), 1).alias("pct_destino_distinto"))
+    middle = quantiles(wide, [], "ratio", {"m": 0.5}).select(F.round("m", 1).alias("razon_mediana"))
+    return share.crossJoin(F.broadcast(middle))  # one row each
 
 
 def detour_factor(access: DataFrame, places: DataFrame, facilities: DataFrame, least_km: float = 0.2) -> DataFrame:
@@ -80,4 +84,6 @@ def detour_factor(access: DataFrame, places: DataFrame, facilities: DataFrame, l
             .join(facilities.select(F.col("cod_ipress").alias("cod_destino_cercano"), F.col("lon").alias("fx"), F.col("lat").alias("fy")), "cod_destino_cercano"))
     straight = haversine(F.col("cx"), F.col("cy"), F.col("fx"), F.col("fy"), EARTH_KM)
     kept = ends.withColumn("recta_km", straight).filter((F.col("recta_km") > least_km) & (F.col("distance_km") > 0))
-    return kept.agg(F.round(F.median(F.col("distance_km") / F.col("recta_km")), 4).alias("factor_rodeo"), F.count("*").alias("n"))
+    ratios = written(kept.select((F.col("distance_km") / F.col("recta_km")).alias("ratio")), "detours")
+    middle = quantiles(ratios, [], "ratio", {"m": 0.5}).select(F.round("m", 4).alias("factor_rodeo"))
+    return middle.crossJoin(F.broadcast(ratios.agg(F.count("*").alias("n"))))  # one row each

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from qhapaq.config import SETTINGS, Settings
 from qhapaq.functions import labels
 from qhapaq.functions.text import padded
-from qhapaq.operators.ordered import averaged_ranks, greatest_rows, running_sums
+from qhapaq.operators.ordered import averaged_ranks, greatest_rows, quantiles, running_sums
 from qhapaq.shared import written
 
 TIME, PEOPLE = "t_min", "poblacion"
@@ -173,7 +173,9 @@ def kpis(base: DataFrame, minutes: int = SETTINGS.golden_minutes) -> DataFrame:
     """Whole population, covered within the minutes, beyond, without a route, and the median minutes."""
     t, p = F.col(TIME), F.col(PEOPLE)
     part = lambda c: F.coalesce(F.sum(F.when(c, p)), F.lit(0.0))
+    base = written(base.select(TIME, PEOPLE), "kpis")
     sums = base.agg(F.count("*").alias("n_centros_poblados"), F.sum(p).alias("poblacion_total"), part(t <= minutes).alias("poblacion_cubierta"),
-                    part(t > minutes).alias("poblacion_lejos"), part(t.isNull()).alias("poblacion_sin_ruta"), F.median(t).alias("mediana_min"))
+                    part(t > minutes).alias("poblacion_lejos"), part(t.isNull()).alias("poblacion_sin_ruta"))
+    sums = sums.crossJoin(F.broadcast(quantiles(base, [], TIME, {"mediana_min": 0.5})))  # one row each
     return sums.withColumns({"pct_cubierta": _share(F.col("poblacion_cubierta"), F.col("poblacion_total")),
                              "pct_sin_ruta": _share(F.col("poblacion_sin_ruta"), F.col("poblacion_total"))})

@@ -52,6 +52,30 @@ def averaged_ranks(rows: DataFrame, column: str) -> DataFrame:
     return placed.select(column, (F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"))
 
 
+def quantiles(rows: DataFrame, groups: Sequence[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """The groups with exact quantiles of a column under the names of shares, interpolated linearly between values.
+
+    Nulls don't count. Without groups there is one row, of nulls for an empty table. Values are counted and summed up in
+    ranges, so that no task holds a group's values, as the built-in exact percentile does.
+    """
+    keys = list(groups) or ["_all"]
+    live = rows.filter(F.col(column).isNotNull()).withColumn("_all", F.lit(0))
+    counts = live.groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    placed = running_sums(counts, keys, "_v", {"_upto": "_n"})
+    totals = placed.groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).agg((F.sum("_n") - 1).alias("_last"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    ranked = placed.join(totals, same)
+    picks = {}
+    for name, p in shares.items():
+        at = F.col("_last") * F.lit(float(p))
+        picks |= {f"_lo_{name}": F.min(F.when(F.col("_upto") > F.floor(at), F.col("_v"))), f"_hi_{name}": F.min(F.when(F.col("_upto") > F.ceil(at), F.col("_v"))),
+                  f"_f_{name}": F.max(at - F.floor(at))}
+    found = ranked.groupBy(*groups).agg(*[c.alias(n) for n, c in picks.items()])
+    return found.select(*groups, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in shares])
+
+
 def greatest_rows(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows in the order, numbered from 1 in rank. Only those n meet in one task."""
     return rows.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))

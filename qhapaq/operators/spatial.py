@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from qhapaq.config import SETTINGS
 from qhapaq.functions.geo import haversine, local_xy
+from qhapaq.operators.ordered import quantiles
 from qhapaq.shared import ship, written
 
 RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
@@ -111,7 +112,7 @@ def snapped(points: DataFrame, nodes: DataFrame, point_id: str, *, most_m: float
 
     nodes: node, lon, lat. The plane is scaled at the median latitude of the nodes.
     """
-    middle = nodes.agg(F.median("lat")).first()[0]
+    middle = quantiles(nodes, [], "lat", {"m": 0.5}).first()[0]
     flat = lambda d: d.withColumns(dict(zip(("_x", "_y"), local_xy(F.col("lon"), F.col("lat"), float(middle or 0.0)))))
     close = nearest(flat(points), flat(nodes), point_id, "node").drop("distance")
     joined = points.join(close, point_id).join(nodes.select("node", F.col("lon").alias("nodo_lon"), F.col("lat").alias("nodo_lat")), "node")
@@ -120,10 +121,11 @@ def snapped(points: DataFrame, nodes: DataFrame, point_id: str, *, most_m: float
 
 
 def snap_summary(snaps: DataFrame, *keys: str) -> DataFrame:
-    return snaps.groupBy(*keys).agg(F.count("*").alias("n_puntos"), F.count_if(~F.col("snap_ok")).alias("n_snap_fallido"),
-                                    F.round(F.avg("snap_dist_m"), 1).alias("snap_dist_media_m"),
-                                    F.round(F.percentile("snap_dist_m", F.lit(0.95)), 1).alias("snap_dist_p95_m"),
-                                    F.round(F.max("snap_dist_m"), 1).alias("snap_dist_max_m"))
+    rows = written(snaps.select(*keys, "snap_dist_m", "snap_ok"), "snaps")
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n_puntos"), F.count_if(~F.col("snap_ok")).alias("n_snap_fallido"),
+                                   F.round(F.avg("snap_dist_m"), 1).alias("snap_dist_media_m"), F.round(F.max("snap_dist_m"), 1).alias("snap_dist_max_m"))
+    tails = quantiles(rows, keys, "snap_dist_m", {"p95": 0.95})
+    return sums.join(tails, list(keys)).select(*keys, "n_puntos", "n_snap_fallido", "snap_dist_media_m", F.round("p95", 1).alias("snap_dist_p95_m"), "snap_dist_max_m")
 
 
 def people_by_place(cells: DataFrame, places: DataFrame, *, group: str | None = None, polygons: DataFrame | None = None, places_after: int = 1) -> DataFrame:
@@ -136,10 +138,10 @@ def people_by_place(cells: DataFrame, places: DataFrame, *, group: str | None =
     if polygons is not None:
         live = within(live, polygons, "cell_id", group, x="cx", y="cy").filter(F.col(group).isNotNull())
     if group:
-        middle = places.groupBy(group).agg(F.median("lat").alias("_lat0"))
+        middle = written(quantiles(places, [group], "lat", {"_lat0": 0.5}), "middles")
         scale = lambda d, a, b: d.join(middle, group).withColumns(dict(zip(("_x", "_y"), local_xy(F.col(a), F.col(b), F.col("_lat0")))))
     else:
-        at = float(places.agg(F.median("lat")).first()[0] or 0.0)
+        at = float(quantiles(places, [], "lat", {"m": 0.5}).first()[0] or 0.0)
         scale = lambda d, a, b: d.withColumns(dict(zip(("_x", "_y"), local_xy(F.col(a), F.col(b), at))))
     close = nearest(scale(live, "cx", "cy"), scale(places, "lon", "lat"), "cell_id", "cod_ccpp", group=group)
     sums = close.join(live.select("cell_id", "val"), "cell_id").groupBy("cod_ccpp").agg(F.sum("val").alias("s"))

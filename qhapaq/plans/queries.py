@@ -268,7 +268,7 @@ def spearman_altitude(spark, d):
 select count(*) as n_centros_poblados, sum(poblacion) as poblacion_total, coalesce(sum(poblacion) filter (where t_min <= 60), 0) as poblacion_cubierta,
   coalesce(sum(poblacion) filter (where t_min > 60), 0) as poblacion_lejos, coalesce(sum(poblacion) filter (where t_min is null), 0) as poblacion_sin_ruta, median(t_min) as mediana_min,
   round(100*coalesce(sum(poblacion) filter (where t_min <= 60), 0)/sum(poblacion), 2) as pct_cubierta, round(100*coalesce(sum(poblacion) filter (where t_min is null), 0)/sum(poblacion), 2) as pct_sin_ruta
-from n_base"""), sums="poblacion_total poblacion_cubierta poblacion_lejos poblacion_sin_ruta")
+from n_base"""), sums="poblacion_total poblacion_cubierta poblacion_lejos poblacion_sin_ruta mediana_min")
 def kpi_summary(spark, d):
     return metrics.kpis(_base(spark, d))
 

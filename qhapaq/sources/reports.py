@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qhapaq.operators.ordered import quantiles
+
 MOST_ROWS = 5_000
 ESCAPES = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
 
@@ -42,7 +44,7 @@ def choices(df: DataFrame, column: str) -> DataFrame:
 
 def display_cap(df: DataFrame, column: str, share: float = 0.95) -> DataFrame:
     """The percentile that a colour scale or axis ends at."""
-    return df.agg(F.percentile(column, F.lit(share)).alias("tope"))
+    return quantiles(df, [], column, {"tope": share})
 
 
 def _shown(value: object, places: int) -> str:

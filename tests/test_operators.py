@@ -83,6 +83,17 @@ def test_running_sums_with_null_groups_and_one_hot_group(spark):
     assert {(r["g"], r["o"]): r["s"] for r in got} == {(g, o): (o + 1) * w if g != "x" else 3.0 for g, o, w in rows}
 
 
+def test_quantiles_equal_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x)) for x in rng.integers(0, 50, 997)] + [(None, 3.0), (None, 8.0), ("b", None), ("c", 4.0)]
+    got = {r["g"]: (r["m"], r["p"]) for r in ordered.quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"m": 0.5, "p": 0.95}).collect()}
+    a = [v for g, v in rows if g == "a"]
+    assert got["a"] == pytest.approx((np.median(a), np.quantile(a, 0.95))) and got[None] == pytest.approx((5.5, 7.75)) and got["c"] == (4, 4) and "b" not in got
+    none = ordered.quantiles(spark.createDataFrame([], "v double"), [], "v", {"m": 0.5}).collect()
+    assert [tuple(r) for r in none] == [(None,)]
+
+
 def test_base_table(spark):
     demand = spark.createDataFrame([("a", "20101", "1"), ("b", "200101", "0")], "cod_ccpp string, ubigeo_distrito string, capital string")
     acc = access.nearest_access(matrix(spark, [("a", "F1", "car", 600.0), ("a", "F1", "foot", 9.0), ("b", "F1", "car", None)]))
