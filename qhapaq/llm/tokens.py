@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import functools
 import heapq
-import itertools
 import json
 import re
 from collections import Counter
