@@ -26,6 +26,23 @@ def as_row(docs: DataFrame, keep: list[str] | None = None, **needed: str) -> Dat
     return docs.select(F.struct(*map(named, keep)).alias("row"), *[named(c).alias(name) for name, c in needed.items()])
 
 
+def flat(docs: DataFrame, keep: list[str] | None, **needed: str) -> tuple[DataFrame, list[str], int]:
+    """docs with the columns keep (all, if None) as c0, c1, ... and the needed ones under their names; keep; the text's place.
+
+    The plain form of as_row, for Arrow: structs of texts cost executors more memory. row_of makes the struct again. A
+    needed column named text is left out where keep has it, so that texts travel once.
+    """
+    keep = docs.columns if keep is None else keep
+    text = needed.pop("text")
+    at = keep.index(text) if text in keep else len(keep)
+    more = {**({} if text in keep else {"text": text}), **needed}
+    return docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(keep)], *[named(c).alias(n) for n, c in more.items()]), keep, at
+
+
+def row_of(keep: list[str]) -> F.Column:
+    return F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)]).alias("row")
+
+
 def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in slices of ROWS rows; at the end freed memory goes back to the system, as workers are kept."""
     for b in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qhapaq.llm.batches import as_row, steps
+from qhapaq.llm.batches import flat, row_of, steps
 
 UNKNOWN = "und"
 
@@ -106,15 +106,15 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str
     text, one without letters, or a model that learned nothing give "und", score 0, rejected; ties go to the language
     that sorts first; repeated rows are predicted each; an empty table gives no rows; other columns stay in row.
     """
-    rows = as_row(docs, keep, text=text)
-    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()),
+    rows, keep, at = flat(docs, keep, text=text)
+    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = model.compressors()
         for b in steps(batches):
             best, score = [], []
-            for t in b.column(1):
+            for t in b.column(at):
                 t = t.as_py()
                 if not made or not t or not any(map(str.isalpha, t)):
                     best.append(UNKNOWN)
@@ -124,7 +124,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str
                 i = int(p.argmax())
                 best.append(model.languages[i])
                 score.append(float(p[i]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()),
-                                              pa.array([s < model.reject for s in score], pa.bool_())], ["row", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(best, pa.string()), pa.array(score, pa.float64()),
+                                              pa.array([s < model.reject for s in score], pa.bool_())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(row_of(keep), "lang_pred", "score", "rejected")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qhapaq.llm.batches import as_row, steps
+from qhapaq.llm.batches import flat, row_of, steps
 from qhapaq.shared import written
 
 BASE = ("email", "ip", "card", "phone")
@@ -217,15 +217,15 @@ def _spans(text: str | None) -> list[dict]:
 
 def propose(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """row (a struct of the columns keep, all if None) and found: spans with votes and feature bins. One pass, no shuffle."""
-    rows = as_row(docs, keep, text=text)
-    schema = T.StructType([rows.schema["row"], T.StructField("found", T.ArrayType(_SPAN))])
+    rows, keep, at = flat(docs, keep, text=text)
+    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("found", T.ArrayType(_SPAN))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            found = pa.array([_spans(t.as_py()) for t in b.column(1)], _ARROW_SPANS)
-            yield pa.RecordBatch.from_arrays([b.column(0), found], ["row", "found"])
+            found = pa.array([_spans(t.as_py()) for t in b.column(at)], _ARROW_SPANS)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], found], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(row_of(keep), "found")
 
 
 def find(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, threshold: float = 0.8) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qhapaq.llm.batches import as_row, steps
+from qhapaq.llm.batches import flat, row_of, steps
 from qhapaq.shared import written
 
 #: The six blanks that part words, and the characters that count as symbols.
@@ -116,16 +116,16 @@ def _measures(text: str | None, model_path: str, rules: Rules) -> tuple:
 
 
 def measure(docs: DataFrame, model_path: str, rules: Rules, *, text: str = "text", lang: str | None = "lang", keep: list[str] | None = None) -> DataFrame:
-    """row (a struct of the columns keep, all if None), lang and a struct measures; one pass without a shuffle."""
-    rows = as_row(docs, keep, text=text, **({"lang": lang} if lang else {}))
+    """The columns keep (all, if None) as c0, c1, ..., lang and a struct measures; one pass without a shuffle."""
+    rows, keep, at = flat(docs, keep, text=text, **({"lang": lang} if lang else {}))
     rows = rows if lang else rows.withColumn("lang", F.lit(None).cast("string"))
-    schema = T.StructType([rows.schema["row"], rows.schema["lang"], T.StructField("measures", MEASURES)])
+    schema = T.StructType([*rows.schema.fields[: len(keep)], rows.schema["lang"], T.StructField("measures", MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            found = [dict(zip(MEASURES.names, _measures(t.as_py(), model_path, rules))) for t in b.column(1)]
+            found = [dict(zip(MEASURES.names, _measures(t.as_py(), model_path, rules))) for t in b.column(at)]
             kind = pa.struct([(f.name, {"bigint": pa.int64(), "double": pa.float64()}.get(f.dataType.simpleString(), pa.string())) for f in MEASURES])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, kind)], ["row", "lang", "measures"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], b.column("lang"), pa.array(found, kind)], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -179,4 +179,4 @@ def judge(docs: DataFrame, model_path: str, rules: Rules | None = None, *, text:
         m["chars_per_token"].between(F.col("_low_chars"), F.col("_high_chars")) & (m["byte_share"] <= F.col("_high_bytes"))
         & (m["token_entropy"] >= F.col("_low_entropy"))))
     return (_grouped(measured).join(limits, ["_group", "_class"], "left")
-            .withColumns({"base_failed": failed, "kept": ~failed & inside}).select("row", "measures", "base_failed", "kept"))
+            .withColumns({"base_failed": failed, "kept": ~failed & inside}).select(row_of(docs.columns if keep is None else keep), "measures", "base_failed", "kept"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qhapaq.llm.batches import as_row, steps
+from qhapaq.llm.batches import flat, row_of, steps
 
 #: The patterns of the three kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -273,23 +273,18 @@ def scan(docs: DataFrame, net: CharNet | None = None, *, text: str = "text", kee
     findings and stays null; repeated rows are scanned each; an empty table gives no rows; other columns stay in row.
     """
     net = net or rule_trained()
-    rows = as_row(docs, keep, text=text)
-    schema = T.StructType([*rows.schema.fields, T.StructField("findings", FINDINGS)])
+    rows, keep, at = flat(docs, keep, text=text)
+    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("findings", FINDINGS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            texts = b.column(1).to_pylist()
+            texts, columns = b.column(at).to_pylist(), b.columns[: len(keep)]
             found = _scan([t or "" for t in texts], net)
-            if redact is None:
-                clean = pa.nulls(len(texts), b.schema.field(1).type)
-            else:
-                clean = pa.array([_redacted(t, f, redact) for t, f in zip(texts, found)], b.schema.field(1).type)
-            yield pa.RecordBatch.from_arrays([b.column(0), clean, pa.array(found, _ARROW)], ["row", "text", "findings"])
-
-    out = rows.mapInArrow(run, schema)
-    if redact is not None:
-        out = out.withColumn("row", F.col("row").withField("`" + text.replace("`", "``") + "`", F.col("text")))
-    return out.select("row", "findings")
+            if redact is not None and at < len(keep):
+                columns[at] = pa.array([_redacted(t, f, redact) for t, f in zip(texts, found)], b.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _ARROW)], schema.names)
+
+    return rows.mapInArrow(run, schema).select(row_of(keep), "findings")
 
 
 def digest(scanned: DataFrame) -> DataFrame:
