@@ -3,13 +3,14 @@
 A subword vocabulary spends an ordinary number of characters per token on text of the languages it knows. Texts of
 noise, broken encodings or endless repetition spend too few or too many, fall back to bytes, or use few different
 tokens. Each document's three measures (characters per token, share of byte-fallback tokens, entropy of its tokens)
-are held against the quartiles of all documents of its language and length class; where a document has no language,
-its script stands in.
+are held against the quartiles of the distinct texts of its language and length class that pass the repetition rules;
+where a document has no language, its script stands in.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -36,8 +37,9 @@ MEASURES = T.StructType([T.StructField(n, t) for n, t in (
 class Rules:
     """window: words of a repeated passage. width: quartile ranges that a measure may lie outside the quartiles.
 
-    The least_ values keep a band from closing where most documents are alike (as shares of the upper quartile for
-    chars_per_token, else absolute); groups of fewer than support documents have no band.
+    The least_ values keep a band from closing where most documents are alike, the most_ values from opening where a
+    group of near copies holds a quartile (as shares of the upper quartile for chars_per_token, else absolute); groups of
+    fewer than support texts have no band.
     """
 
     least_words: int = 20
@@ -47,6 +49,9 @@ class Rules:
     least_chars: float = 0.25
     least_bytes: float = 0.05
     least_entropy: float = 1.0
+    most_chars: float = 0.5
+    most_bytes: float = 0.25
+    most_entropy: float = 2.5
     support: int = 30
 
 
@@ -115,37 +120,54 @@ def _measures(text: str | None, model_path: str, rules: Rules) -> tuple:
             float(is_byte[ids].mean()) if len(ids) else None, float(-(p * np.log2(p)).sum()) if len(ids) else None, script_of(text))
 
 
+def _key(text: str | None) -> int:
+    """64 bits of a text's hash: copies have the same."""
+    return int.from_bytes(hashlib.blake2b((text or "").encode(), digest_size=8).digest(), "big", signed=True)
+
+
 def measure(docs: DataFrame, model_path: str, rules: Rules, *, text: str = "text", lang: str | None = "lang", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (all, if None) as c0, c1, ..., lang and a struct measures; one pass without a shuffle."""
+    """The columns keep (all, if None) as c0, c1, ..., lang, text_key (equal for copies) and a struct measures; one pass without a shuffle."""
     rows, keep, at = flat(docs, keep, text=text, **({"lang": lang} if lang else {}))
     rows = rows if lang else rows.withColumn("lang", F.lit(None).cast("string"))
-    schema = T.StructType([*rows.schema.fields[: len(keep)], rows.schema["lang"], T.StructField("measures", MEASURES)])
+    schema = T.StructType([*rows.schema.fields[: len(keep)], rows.schema["lang"], T.StructField("text_key", T.LongType()), T.StructField("measures", MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            found = [dict(zip(MEASURES.names, _measures(t.as_py(), model_path, rules))) for t in b.column(at)]
+            found, keys = [], []
+            for t in b.column(at):
+                found.append(dict(zip(MEASURES.names, _measures(value := t.as_py(), model_path, rules))))
+                keys.append(_key(value))
             kind = pa.struct([(f.name, {"bigint": pa.int64(), "double": pa.float64()}.get(f.dataType.simpleString(), pa.string())) for f in MEASURES])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], b.column("lang"), pa.array(found, kind)], schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], b.column("lang"), pa.array(keys, pa.int64()), pa.array(found, kind)], schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def base_failed(rules: Rules) -> F.Column:
+    m = F.col("measures")
+    return (m["n_words"] < rules.least_words) | (100 * m["n_repeat_words"] > rules.repeat_percent * m["n_words"])
+
+
 def bands(measured: DataFrame, rules: Rules) -> DataFrame:
-    """low and high bounds of the measures by (_group, _class), from all measured documents of enough words."""
+    """low and high bounds of the measures by (_group, _class), from the distinct texts that pass the base rules.
+
+    Copies are brought together by text first, so that a text counts once in its group however often it occurs.
+    """
     m = F.col("measures")
-    q = [F.percentile_approx(m[c], F.array(F.lit(0.25), F.lit(0.75)), F.lit(2000)).alias(c)
-         for c in ("chars_per_token", "byte_share", "token_entropy")]
-    found = (_grouped(measured).filter((m["n_words"] >= rules.least_words) & (m["n_tokens"] > 0))
-             .groupBy("_group", "_class").agg(F.count("*").alias("_n"), *q).filter(F.col("_n") >= rules.support))
+    names = ("chars_per_token", "byte_share", "token_entropy")
+    texts = (_grouped(measured).filter(~base_failed(rules) & (m["n_tokens"] > 0))
+             .groupBy("_group", "_class", "text_key").agg(*[F.min(m[c]).alias(c) for c in names]))
+    q = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), F.lit(2000)).alias(c) for c in names]
+    found = texts.groupBy("_group", "_class").agg(F.count("*").alias("_n"), *q).filter(F.col("_n") >= rules.support)
 
-    def room(c: str, least: F.Column) -> F.Column:
-        return rules.width * F.greatest(F.col(c)[1] - F.col(c)[0], least / rules.width)
+    def room(c: str, least: F.Column, most: F.Column) -> F.Column:
+        return F.least(F.greatest(rules.width * (F.col(c)[1] - F.col(c)[0]), least), most)
 
-    chars = room("chars_per_token", rules.least_chars * F.col("chars_per_token")[1])
-    entropy = room("token_entropy", F.lit(rules.least_entropy))
+    chars = room("chars_per_token", *(share * F.col("chars_per_token")[1] for share in (rules.least_chars, rules.most_chars)))
+    entropy = room("token_entropy", F.lit(rules.least_entropy), F.lit(rules.most_entropy))
     return found.select("_group", "_class", (F.col("chars_per_token")[0] - chars).alias("_low_chars"),
                         (F.col("chars_per_token")[1] + chars).alias("_high_chars"),
-                        (F.col("byte_share")[1] + room("byte_share", F.lit(rules.least_bytes))).alias("_high_bytes"),
+                        (F.col("byte_share")[1] + room("byte_share", F.lit(rules.least_bytes), F.lit(rules.most_bytes))).alias("_high_bytes"),
                         (F.col("token_entropy")[0] - entropy).alias("_low_entropy"))
 
 
@@ -164,7 +186,7 @@ def judge(docs: DataFrame, model_path: str, rules: Rules | None = None, *, text:
 
     base_failed: fewer than least_words words, or over repeat_percent of the words in repeated windows. kept: not
     base_failed and inside the bands of its group. The measured rows are written once to the shared folder, since the
-    bands need them all before any can be judged. Defined cases: a null or empty text has no words and fails; equal
+    bands need them all before any can be judged. Copies of a text count once in the bands. Defined cases: a null or empty text has no words and fails; equal
     rows get equal verdicts; a null language is replaced by the script; an empty table gives no rows; other columns
     stay in row untouched.
     """
@@ -174,7 +196,7 @@ def judge(docs: DataFrame, model_path: str, rules: Rules | None = None, *, text:
     if limits.count() <= BROADCAST_BANDS:
         limits = F.broadcast(limits)
     m = F.col("measures")
-    failed = (m["n_words"] < rules.least_words) | (100 * m["n_repeat_words"] > rules.repeat_percent * m["n_words"])
+    failed = base_failed(rules)
     inside = ((m["n_tokens"] == 0) | (F.col("_low_chars").isNull()) | (
         m["chars_per_token"].between(F.col("_low_chars"), F.col("_high_chars")) & (m["byte_share"] <= F.col("_high_bytes"))
         & (m["token_entropy"] >= F.col("_low_entropy"))))

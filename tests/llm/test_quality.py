@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -46,6 +47,32 @@ def test_bands_reject_noise_and_keep_prose(spark):
     assert all(got[i]["kept"] for i, *_ in prose) and not got[900]["kept"] and got[900]["measures"]["byte_share"] > 0.5
 
 
+def _random_words(seed, words, n=160):
+    draw = random.Random(seed)
+    return " ".join(draw.choice(words) for _ in range(n))
+
+
+PROSE = "river people road town place field stone water light house bridge market garden winter summer letter window morning evening teacher farmer valley forest island harbour village".split()
+
+
+def test_copies_do_not_open_a_band(spark):
+    prose = [(i, _random_words(i, PROSE), "en") for i in range(80)]
+    hot = [(1000 + i, _random_words(7, ["stone", "water", "light", "river", "house"]), "en") for i in range(60)]
+    poor = [(2000, _random_words(8, ["stone", "road", "field"]), "en")]
+    got = {r["row"]["doc_id"]: r for r in quality.judge(spark.createDataFrame(prose + hot + poor, "doc_id long, text string, lang string"), MODEL).collect()}
+    assert not got[2000]["base_failed"] and not got[2000]["kept"]
+    assert all(got[i]["kept"] for i in range(80)) and len({r["kept"] for i, r in got.items() if 1000 <= i < 2000}) == 1
+
+
+def test_near_copies_open_a_band_no_further_than_the_limit(spark):
+    prose = [(i, _random_words(i, PROSE), "en") for i in range(80)]
+    near = [(1000 + i, _random_words(7, ["stone", "water", "light", "river"]) + f" {PROSE[i % 26]}", "en") for i in range(60)]
+    measured = quality.measure(spark.createDataFrame(prose + near, "doc_id long, text string, lang string"), MODEL, quality.Rules())
+    low = quality.bands(measured, quality.Rules()).agg({"_low_entropy": "min"}).first()[0]
+    least = measured.agg({"measures.token_entropy": "min"}).first()[0]
+    assert low > least - quality.Rules().most_entropy - 0.2
+
+
 def test_scripts():
     assert quality.script_of("abc") == "latin" and quality.script_of("абв г") == "cyrillic" and quality.script_of("123 !") == "none" and quality.script_of("日本") == "cjk"
 
