@@ -4,7 +4,8 @@ A subword vocabulary spends an ordinary number of characters per token on text o
 noise, broken encodings or endless repetition spend too few or too many, fall back to bytes, or use few different
 tokens. Each document's three measures (characters per token, share of byte-fallback tokens, entropy of its tokens)
 are held against the quartiles of the distinct texts of its language and length class that pass the repetition rules;
-where a document has no language, its script stands in.
+where a document has no language, its script stands in. Classes go by characters, as the tokens are under test. Where a
+class has too few texts, the language is asked, then the script, then fixed bands, so that every document is judged.
 """
 
 from __future__ import annotations
@@ -39,7 +40,10 @@ class Rules:
 
     The least_ values keep a band from closing where most documents are alike, the most_ values from opening where a
     group of near copies holds a quartile (as shares of the upper quartile for chars_per_token, else absolute); groups of
-    fewer than support texts have no band.
+    fewer than support texts have no band, and the next wider one judges. Over all lengths, and in the fixed bands, the
+    least entropy is at most short_entropy of what the number of tokens allows, and short_bytes more byte tokens are
+    allowed, as line ends are some of few tokens. The fixed_ bands hold for texts of any
+    script that the vocabulary spells in up to three bytes a character.
     """
 
     least_words: int = 20
@@ -53,6 +57,11 @@ class Rules:
     most_bytes: float = 0.25
     most_entropy: float = 2.5
     support: int = 30
+    short_entropy: float = 0.5
+    short_bytes: int = 8
+    fixed_chars: tuple[float, float] = (0.3, 12.0)
+    fixed_bytes: float = 0.9
+    fixed_entropy: float = 3.5
 
 
 def repeated_words(words: list, window: int) -> int:
@@ -149,23 +158,26 @@ def base_failed(rules: Rules) -> F.Column:
 
 
 def bands(measured: DataFrame, rules: Rules) -> DataFrame:
-    """low and high bounds of the measures by (_group, _class), from the distinct texts that pass the base rules.
+    """low and high bounds of the measures by LEVELS, from the distinct texts that pass the base rules.
 
     Copies are brought together by text first, so that a text counts once in its group however often it occurs.
     """
     m = F.col("measures")
     names = ("chars_per_token", "byte_share", "token_entropy")
     texts = (_grouped(measured).filter(~base_failed(rules) & (m["n_tokens"] > 0))
-             .groupBy("_group", "_class", "text_key").agg(*[F.min(m[c]).alias(c) for c in names]))
+             .groupBy("_group", "_class", "_script", "text_key").agg(*[F.min(m[c]).alias(c) for c in names]))
+    keys = [F.struct(F.lit(i).alias("_level"), F.col(at[0]).alias("_key"), (F.col(at[1]) if at[1:] else F.lit(None).cast("long")).alias("_size"))
+            for i, at in enumerate(LEVELS)]
+    texts = texts.select(F.explode(F.array(*keys)).alias("k"), *names).select("k.*", *names)
     q = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), F.lit(2000)).alias(c) for c in names]
-    found = texts.groupBy("_group", "_class").agg(F.count("*").alias("_n"), *q).filter(F.col("_n") >= rules.support)
+    found = texts.groupBy("_level", "_key", "_size").agg(F.count("*").alias("_n"), *q).filter(F.col("_n") >= rules.support)
 
     def room(c: str, least: F.Column, most: F.Column) -> F.Column:
         return F.least(F.greatest(rules.width * (F.col(c)[1] - F.col(c)[0]), least), most)
 
     chars = room("chars_per_token", *(share * F.col("chars_per_token")[1] for share in (rules.least_chars, rules.most_chars)))
     entropy = room("token_entropy", F.lit(rules.least_entropy), F.lit(rules.most_entropy))
-    return found.select("_group", "_class", (F.col("chars_per_token")[0] - chars).alias("_low_chars"),
+    return found.select("_level", "_key", "_size", (F.col("chars_per_token")[0] - chars).alias("_low_chars"),
                         (F.col("chars_per_token")[1] + chars).alias("_high_chars"),
                         (F.col("byte_share")[1] + room("byte_share", F.lit(rules.least_bytes), F.lit(rules.most_bytes))).alias("_high_bytes"),
                         (F.col("token_entropy")[0] - entropy).alias("_low_entropy"))
@@ -173,7 +185,27 @@ def bands(measured: DataFrame, rules: Rules) -> DataFrame:
 
 def _grouped(measured: DataFrame) -> DataFrame:
     group = F.coalesce(F.concat(F.lit("lang:"), F.col("lang").cast("string")), F.concat(F.lit("script:"), F.col("measures.script")))
-    return measured.withColumns({"_group": group, "_class": F.floor(F.log2(F.greatest(F.col("measures.n_tokens"), F.lit(1))))})
+    return measured.withColumns({"_group": group, "_class": F.floor(F.log2(F.greatest(F.col("measures.word_chars"), F.lit(1)))),
+                                 "_script": F.col("measures.script")})
+
+
+#: Keys of the bands from the narrowest, which is asked first, to the widest.
+LEVELS = (("_group", "_class"), ("_group",), ("_script",))
+BOUNDS = ("_low_chars", "_high_chars", "_high_bytes", "_low_entropy")
+
+
+def _with_band(rows: DataFrame, limits: DataFrame, rules: Rules) -> DataFrame:
+    """A struct _band of BOUNDS beside every row: that of the first level that has one, else the fixed one."""
+    share = F.broadcast if limits.count() <= BROADCAST_BANDS else lambda df: df
+    for i, at in enumerate(LEVELS):
+        names = [F.col(c).alias(name) for c, name in zip(("_key", "_size"), at)]
+        rows = rows.join(share(limits.filter(F.col("_level") == i).select(*names, F.struct(*BOUNDS).alias(f"_band{i}"))), list(at), "left")
+    fixed = F.struct(*[F.lit(x).alias(c) for x, c in zip((*rules.fixed_chars, rules.fixed_bytes, rules.fixed_entropy), BOUNDS)])
+    wide = F.coalesce(*[F.col(f"_band{i}") for i in range(1, len(LEVELS))], fixed)
+    n = F.greatest(F.col("measures.n_tokens"), F.lit(1))
+    wide = wide.withField("_low_entropy", F.least(wide["_low_entropy"], rules.short_entropy * F.log2(n)))
+    wide = wide.withField("_high_bytes", F.least(wide["_high_bytes"] + rules.short_bytes / n, F.lit(rules.fixed_bytes)))
+    return rows.withColumn("_band", F.coalesce("_band0", wide))
 
 
 #: Bands are broadcast up to so many; more (which would take thousands of languages) are joined by shuffle.
@@ -185,7 +217,7 @@ def judge(docs: DataFrame, model_path: str, rules: Rules | None = None, *, text:
     """row (a struct of the columns keep, all if None), struct measures, boolean base_failed and boolean kept.
 
     base_failed: fewer than least_words words, or over repeat_percent of the words in repeated windows. kept: not
-    base_failed and inside the bands of its group. The measured rows are written once to the shared folder, since the
+    base_failed and inside the narrowest band there is for it. The measured rows are written once to the shared folder, since the
     bands need them all before any can be judged. Copies of a text count once in the bands. Defined cases: a null or empty text has no words and fails; equal
     rows get equal verdicts; a null language is replaced by the script; an empty table gives no rows; other columns
     stay in row untouched.
@@ -193,12 +225,10 @@ def judge(docs: DataFrame, model_path: str, rules: Rules | None = None, *, text:
     rules = rules or Rules()
     measured = written(measure(docs, model_path, rules, text=text, lang=lang, keep=keep), "quality")
     limits = written(bands(measured, rules), "quality-bands")
-    if limits.count() <= BROADCAST_BANDS:
-        limits = F.broadcast(limits)
-    m = F.col("measures")
+    m, band = F.col("measures"), F.col("_band")
     failed = base_failed(rules)
-    inside = ((m["n_tokens"] == 0) | (F.col("_low_chars").isNull()) | (
-        m["chars_per_token"].between(F.col("_low_chars"), F.col("_high_chars")) & (m["byte_share"] <= F.col("_high_bytes"))
-        & (m["token_entropy"] >= F.col("_low_entropy"))))
-    return (_grouped(measured).join(limits, ["_group", "_class"], "left")
+    inside = (m["n_tokens"] == 0) | (
+        m["chars_per_token"].between(band["_low_chars"], band["_high_chars"]) & (m["byte_share"] <= band["_high_bytes"])
+        & (m["token_entropy"] >= band["_low_entropy"]))
+    return (_with_band(_grouped(measured), limits, rules)
             .withColumns({"base_failed": failed, "kept": ~failed & inside}).select(row_of(docs.columns if keep is None else keep), "measures", "base_failed", "kept"))

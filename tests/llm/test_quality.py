@@ -73,6 +73,25 @@ def test_near_copies_open_a_band_no_further_than_the_limit(spark):
     assert low > least - quality.Rules().most_entropy - 0.2
 
 
+def _noise(seed, n=70):
+    draw = random.Random(seed)
+    return " ".join("".join(chr(0x10A60 + draw.randrange(29)) for _ in range(6)) for _ in range(n))
+
+
+AMHARIC = "የሰው ልጅ ሁሉ ሲወለድ ነጻና በክብርና በመብትም እኩልነት ያለው ነው። የተፈጥሮ ማስተዋልና ሕሊና ስላለው አንዱ ሌላውን በወንድማማችነት መንፈስ መመልከት ይገባዋል።"
+
+
+@pytest.mark.parametrize("n", [2, 80])
+def test_every_document_is_judged_however_few_are_like_it(spark, n):
+    """In rare languages and lengths noise is rejected and prose kept, with few other documents and with many."""
+    prose = [(i, _random_words(i, PROSE), "en") for i in range(n)]
+    noise = [(1000, _noise(1), "en"), (1001, _noise(2), "xx"), (1002, _noise(3), None), (1003, _noise(4, 4000), "en"), (1004, _random_words(5, ["stone", "road", "field"], 120), "xx")]
+    rare = [(2000, _random_words(1, PROSE, 22), "en"), (2001, _random_words(2, PROSE, 9000), "en"), (2002, _random_words(3, PROSE), "xx"), (2003, AMHARIC, "am")]
+    got = {r["row"]["doc_id"]: r for r in quality.judge(spark.createDataFrame(prose + noise + rare, "doc_id long, text string, lang string"), MODEL).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [i for i in got if i in range(1000, 1005) and got[i]["kept"]] == [] and all(got[i]["kept"] for i in got if i not in range(1000, 1005))
+
+
 def test_scripts():
     assert quality.script_of("abc") == "latin" and quality.script_of("абв г") == "cyrillic" and quality.script_of("123 !") == "none" and quality.script_of("日本") == "cjk"
 
