@@ -645,6 +645,33 @@ def largest_component_edges(spark, d):
     return graph.largest_component(rows)
 
 
+LINKED = """
+e as (select distinct l_orderkey as src, -(l_partkey*1000000000 + l_suppkey) as dst from lineitem),
+u as (select src as a, dst as b from e union all select dst, src from e),
+c(node, component) using key (node) as (
+  select distinct a, a from u
+  union (select o.node, min(n.component) from recurring.c o join u on u.a = o.node join c n on n.node = u.b where n.component < o.component group by 1))
+"""
+
+
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and what they hold of whom: all rows of lineitem, as orders joined by a part of the same supplier."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    return rows.select(F.col("l_orderkey").alias("src"), (-(F.col("l_partkey") * 1_000_000_000 + F.col("l_suppkey"))).alias("dst")).distinct()
+
+
+@query("connected_component_orders", "with recursive " + LINKED.strip() + " select node, component from c")
+def connected_component_orders(spark, d):
+    return graph.components(_linked(spark, d), "src", "dst")
+
+
+@query("largest_component_edges_orders", "with recursive " + LINKED.strip() + """,
+t as (select component from c group by 1 order by count(*) desc, component limit 1)
+select src, dst from e where src in (select node from c join t using (component))""")
+def largest_component_edges_orders(spark, d):
+    return graph.largest_component(_linked(spark, d))
+
+
 @query("chain_contraction")
 def chain_contraction(spark, d):
     edges = view(spark, d, "f_edges").filter("dst = (src + 1) % 24 or src % 5 = 0")

@@ -1,3 +1,5 @@
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -39,6 +41,27 @@ def test_queries_and_sql_have_the_same_names():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(queries.SQL) >= len(queries.QUERIES) - 3
 
 
+def test_components_of_all_orders(spark):
+    d = "/root/testdata/sf0.001"
+    least, edges = {}, {(r[0], -(r[1] * 1_000_000_000 + r[2])) for r in spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey").collect()}
+
+    def of(n):
+        while least.setdefault(n, n) != n:
+            n = least[n]
+        return n
+
+    for a, b in edges:
+        x, y = of(a), of(b)
+        least[max(x, y)] = min(x, y)
+    labels = {n: of(n) for n in list(least)}
+    got = [tuple(r) for r in entry.queries()["connected_component_orders"](spark, d).select("node", "component").collect()]
+    assert len(got) == len(labels) and dict(got) == labels and len(set(labels.values())) > 1
+    sizes = Counter(labels.values())
+    top = min(sizes, key=lambda c: (-sizes[c], c))
+    got = [tuple(r) for r in entry.queries()["largest_component_edges_orders"](spark, d).select("src", "dst").collect()]
+    assert len(got) == len(set(got)) and set(got) == {e for e in edges if labels[e[0]] == top}
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
