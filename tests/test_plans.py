@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -62,6 +63,27 @@ def test_components_of_all_orders(spark):
     assert len(got) == len(set(got)) and set(got) == {e for e in edges if labels[e[0]] == top}
 
 
+def test_mojibake_repair_returns_every_document(spark, tmp_path):
+    """Twice-encoded texts come back decoded, those that cannot be decoded as they are, null as null."""
+    raw = {1: "José Ibáñez".encode().decode("latin-1"), 2: "SÃO JOÃO", 3: "AÃ±o", 4: None, 5: "Â\ufffd", 6: None, 7: "plain", 8: "Ãÿ 日", 9: "niño", 10: "São Ãÿ"}
+    spark.createDataFrame(list(raw.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def repaired(i, t):
+        given = t.replace("ñ", "ÿ") if i % 3 == 0 and t else t
+        if given is None:
+            return None, False
+        out = given.replace("ÿ", "ñ").replace("Ÿ", "Ñ")
+        if any(c in out for c in "ÃÂ\ufffd"):
+            try:
+                out = out.encode("latin-1").decode()
+            except UnicodeError:
+                pass
+        return hashlib.md5(out.encode()).hexdigest(), out != given
+
+    got = queries.QUERIES["mojibake_repair"](spark, str(tmp_path)).collect()
+    assert len(got) == len(raw) and {r["doc_id"]: (r["value_md5"], r["changed"]) for r in got} == {i: repaired(i, t) for i, t in raw.items()}
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
