@@ -102,5 +102,5 @@ def test_queries_with_too_few_rows_in_the_radius_ask_all(spark):
 
 
 def test_unequal_lengths_and_huge_components(spark):
-    rows = [(0, [1.0, 2.0], 0), (1, [1.0, 2.0, 5.0], 0), (2, [3.0], 0), (3, [1e30, 1e30], 0)]
-    assert found(neighbours.nearest(spark.createDataFrame(rows, SCHEMA.replace("float", "double")), F.col("vec_id") == 0)) == {0: [(3, 3e30), (1, 5.0), (2, 3.0)]}
+    rows = [(0, [1.0, 2.0], 0), (1, [1.0, 2.0, 5.0], 0), (2, [3.0], 0), (3, [2.0**100, 2.0**100], 0)]
+    assert found(neighbours.nearest(spark.createDataFrame(rows, SCHEMA.replace("float", "double")), F.col("vec_id") == 0)) == {0: [(3, 3 * 2.0**100), (1, 5.0), (2, 3.0)]}
