@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from qhapaq.llm import dedup
 
@@ -113,3 +114,32 @@ def test_block_links_join_what_is_similar():
         return label
 
     assert set(found) <= alike and parts(found) == parts(alike) and len(found) < 30
+
+
+def test_repeated_ids_with_different_texts_link_by_each(spark):
+    rng = random.Random(5)
+    a, b, c = ([f"{x}{rng.randrange(10**6)}" for _ in range(60)] for x in "abc")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(c)), (5, near(c)), (5, " ".join(b)), (6, " ".join(c)), (7, "alone in the world"), (7, "")]
+    check(spark, rows, shingle=2)
+    check(spark, [(9 - i, t) for i, t in rows], shingle=2)
+
+
+def test_a_bitmap_finds_the_same(spark):
+    rng = random.Random(6)
+    texts = variants(rng, 40, 60, 8) + variants(rng, 20, 90, 12)
+    check(spark, list(enumerate(texts)), shingle=2, broadcast=0, bitmap_bits=20)
+
+
+def test_a_hot_bucket_of_unlike_members(spark):
+    """Members that share a bucket but no words: sketches send none of them on, and no pairs are made."""
+    rng = random.Random(7)
+    texts = [" ".join(f"h{rng.randrange(10**6)}" for _ in range(40)) for _ in range(6000)]
+    pairs = [(i, t) for i, t in enumerate(texts)] + [(10_000 + i, texts[i] + " more") for i in range(0, 6000, 500)]
+    rules = dedup.Rules(shingle=2, block=1500)
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    found = dedup.described(docs, rules, "doc_id", "text").withColumnRenamed("set_key", "node").withColumn("rep", F.col("doc_id"))
+    meeting = found.select(F.lit(b"main").alias("main"), "node", F.col("node").alias("component"))
+    links = dedup._met(meeting, docs, found, rules)
+    names = {bytes(r["node"]): r["doc_id"] for r in found.collect()}
+    assert {tuple(sorted((names[bytes(r["a"])], names[bytes(r["b"])]))) for r in links.collect()} == {(i, 10_000 + i) for i in range(0, 6000, 500)}
