@@ -77,7 +77,8 @@ def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
-    judged = quality.judge(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    judged = quality.judge(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"],
+                           second_path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return judged.select("row.doc_id", *[f"measures.{c}" for c in quality.MEASURES.names], "base_failed", "kept")
 
 
