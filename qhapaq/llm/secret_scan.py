@@ -1,7 +1,7 @@
 """Secret scanning: three fixed patterns, and a character convolutional network over further candidates.
 
-Candidates are the pattern findings and every other run of 16 or more token characters that mixes digits and
-letters (runs joined by single dots are one). The network (numpy only) reads each candidate whole, with the characters
+Candidates are the pattern findings and every other run of 16 or more token characters that mixes digits,
+small or capital letters (runs joined by single dots are one). The network (numpy only) reads each candidate whole, with the characters
 around it: its filters are pooled over the candidate and over each side by themselves. It is trained on labelled findings:
 pattern findings of the corpus in their real surroundings against mined runs that no pattern touches, and strings made by
 rule, since one corpus has few kinds of either. It is calibrated on documents held out from training, and each shape of
@@ -71,7 +71,8 @@ def _classes(text: str) -> np.ndarray:
 
 
 def other_candidates(text: str, base: list[tuple[int, int, int]], mixed: bool = True) -> list[tuple[int, int]]:
-    """Runs of token characters that no pattern finding touches; with mixed only those of digits and letters."""
+    """Runs of token characters that no pattern finding touches; with mixed only those in which digits, small and
+    capital letters (beyond the first character) meet, two of the three at least."""
     out: list[tuple[int, int]] = []
     joined: list[list[int]] = []
     for a, b in _runs((_classes(text) & 2) > 0, 16):
@@ -82,7 +83,7 @@ def other_candidates(text: str, base: list[tuple[int, int, int]], mixed: bool =
     starts, furthest = [a for a, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for a, b in joined:
         s = text[a:b]
-        fits = not mixed or sum(map(str.isdigit, s)) >= 2 and sum(map(str.isalpha, s)) >= 2
+        fits = not mixed or sum(any(map(kind, s[1:])) for kind in (str.isdigit, str.islower, str.isupper)) >= 2
         before = bisect_left(starts, b)
         if fits and not (before and furthest[before - 1] > a):
             out.append((a, b))
