@@ -1,25 +1,30 @@
 """Personal data by weak supervision.
 
 Fixed patterns find emails, IP addresses, card and phone numbers; looser patterns propose further spans. Labelers
-(shape, checksum, gazetteer, context, surroundings) vote yes, no or nothing on each span. Expectation-maximisation
-over the vote patterns of the whole corpus estimates how reliable each labeler is and how likely each pattern is
-personal data; these soft labels train a logistic classifier on votes and coarse features, which decides about the
-proposed spans. Pattern findings of the four fixed kinds always stay.
+(shape, checksum, gazetteer, context, surroundings, digits) vote yes, no or nothing on each span. Expectation-maximisation
+over the vote patterns of the whole corpus estimates how reliable each labeler is on each kind and how likely each pattern
+is personal data. These soft labels train a logistic classifier that reads the span and the text around it as hashed
+character trigrams beside the votes; it decides about the proposed spans. Pattern findings of the four fixed kinds
+always stay.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qhapaq.llm.batches import flat, row_of, steps
-from qhapaq.shared import written
+from qhapaq.shared import ship, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "at_email", "local_phone", "social", "account", "person")
@@ -49,7 +54,8 @@ CONTEXT = {
 AGAINST = ("version", "isbn", "order", "invoice no", "serial", "section", "release", "figure", "table")
 
 LABELERS = ("shape", "checksum", "gazetteer", "context", "surroundings", "digits")
-CONTEXT_CHARS = 32
+CONTEXT_CHARS, MOST_CHARS = 32, 80
+DIGIT = re.compile("[0-9]")
 
 
 def luhn(digits: str) -> bool:
@@ -92,14 +98,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def proposed_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of the looser kinds that touch no pattern finding; the first kind wins where they overlap."""
-    taken = [(a, b) for _, a, b in base]
-    out = []
+    taken = sorted((a, b) for _, a, b in base)  # spans of fixed kinds may overlap one another
+    out: list[tuple[int, int, int]] = []
     for k, pattern, sure in ((4, AT_EMAIL, "at"), (5, LOCAL_PHONE, ""), (6, SOCIAL, "-"), (7, ACCOUNT, ""), (8, PERSON, "")):
-        if sure in text:
-            for m in pattern.finditer(text):
-                if not any(a < m.end() and m.start() < b for a, b in taken):
-                    taken.append(m.span())
-                    out.append((k, *m.span()))
+        if sure in text or sure == "at" and sure in text.lower():
+            starts, furthest = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+            free = [m.span() for m in pattern.finditer(text) if not (n := bisect_left(starts, m.end())) or furthest[n - 1] <= m.start()]
+            out += [(k, a, b) for a, b in free]
+            taken = sorted([*taken, *free]) if free else taken
     return sorted(out)
 
 
@@ -130,8 +136,8 @@ def _listed(kind: str, s: str, digits: str) -> int:
     return 0
 
 
-def votes(text: str, k: int, a: int, b: int) -> tuple[str, int]:
-    """One character (+, -, 0) per labeler for a span, and its coarse features as a number below 64."""
+def votes(text: str, k: int, a: int, b: int) -> str:
+    """One character (+, -, 0) per labeler for a span."""
     kind, s = KINDS[k], text[a:b]
     digits = "".join(c for c in s if c in "0123456789")
     before, after = text[max(0, a - CONTEXT_CHARS): a].lower(), text[b: b + 8].lower()
@@ -143,14 +149,20 @@ def votes(text: str, k: int, a: int, b: int) -> tuple[str, int]:
     plain = len(set(digits)) <= 2 if digits else None
     cast = (1 if shape else -1, _checked(kind, s, digits), _listed(kind, s, digits), -1 if against else 1 if near else 0,
             -1 if tight else 1, 0 if plain is None else -1 if plain else 1)
-    size = min(7, len(s).bit_length())
-    return "".join("-0+"[v + 1] for v in cast), size * 8 + (4 if digits else 0) + (2 if near else 0) + (1 if tight else 0)
+    return "".join("-0+"[v + 1] for v in cast)
 
 
-def reliabilities(patterns: dict[tuple[str, str], int], rounds: int = 30) -> tuple[dict[str, float], np.ndarray, dict[tuple[str, str], float]]:
-    """Expectation-maximisation over counted (kind, votes): priors by kind, P(vote | class) by labeler, soft labels.
+def around(text: str, a: int, b: int) -> str:
+    """What the classifier reads: the span between marks in its surroundings, in small letters, every digit a 0."""
+    seen = f"{text[max(0, a - CONTEXT_CHARS): a]}\x01{text[a: min(b, a + MOST_CHARS)]}\x02{text[b: b + 8]}"
+    return DIGIT.sub("0", seen.lower())
 
-    The start believes labelers: a span with more yes than no votes is likely personal. Counts are smoothed by one.
+
+def reliabilities(patterns: dict[tuple[str, str], int], rounds: int = 30, strength: float = 10.0) -> tuple[dict[str, float], dict[str, np.ndarray], dict[tuple[str, str], float]]:
+    """Expectation-maximisation over counted (kind, votes): priors by kind, P(vote | class) by kind and labeler, soft labels.
+
+    The start believes labelers: a span with more yes than no votes is likely personal. A kind's table leans on that of
+    all kinds as if that were `strength` more spans of each class, so that rare kinds have sensible ones.
     """
     keys = sorted(patterns)
     n = np.array([patterns[k] for k in keys], float)
@@ -158,65 +170,92 @@ def reliabilities(patterns: dict[tuple[str, str], int], rounds: int = 30) -> tup
     kinds = np.array([k for k, _ in keys])
     p = 1 / (1 + np.exp(-1.5 * (v - 1).sum(1)))
     prior: dict[str, float] = {}
-    table = np.zeros((v.shape[1], 2, 3))
-    for _ in range(rounds):
+    tables: dict[str, np.ndarray] = {}
+
+    def counted(at: np.ndarray) -> np.ndarray:
+        out = np.zeros((v.shape[1], 2, 3))
         for j in range(v.shape[1]):
-            for x in range(3):
-                hit = v[:, j] == x
-                table[j, 1, x], table[j, 0, x] = (n * p)[hit].sum() + 1, (n * (1 - p))[hit].sum() + 1
-        table /= table.sum(2, keepdims=True)
-        prior = {k: ((n * p)[kinds == k].sum() + 1) / (n[kinds == k].sum() + 2) for k in sorted(set(kinds))}
-        odds = np.array([np.log(prior[k] / (1 - prior[k])) for k in kinds])
-        odds += sum(np.log(table[j, 1, v[:, j]] / table[j, 0, v[:, j]]) for j in range(v.shape[1]))
-        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return prior, table, dict(zip(keys, p.tolist()))
-
-
-def _features(kind: str, vote: str, bins: int) -> np.ndarray:
-    x = np.zeros(1 + len(KINDS) + 3 * len(LABELERS) + 8 + 3)
-    x[0] = x[1 + KINDS.index(kind)] = 1
-    for j, c in enumerate(vote):
-        x[1 + len(KINDS) + 3 * j + "-0+".index(c)] = 1
-    at = 1 + len(KINDS) + 3 * len(LABELERS)
-    x[at + bins // 8] = 1
-    x[at + 8: at + 11] = bins >> 2 & 1, bins >> 1 & 1, bins & 1
+            out[j, 1] = np.bincount(v[at, j], (n * p)[at], 3)
+            out[j, 0] = np.bincount(v[at, j], (n * (1 - p))[at], 3)
+        return out
+
+    for _ in range(rounds):
+        pooled = counted(np.ones(len(keys), bool)) + 1
+        pooled /= pooled.sum(2, keepdims=True)
+        odds = np.zeros(len(keys))
+        new = {}
+        for kind in sorted(set(kinds)):
+            at = kinds == kind
+            table = counted(at) + strength * pooled
+            new[kind] = table / table.sum(2, keepdims=True)
+            prior[kind] = ((n * p)[at].sum() + 1) / (n[at].sum() + 2)
+            odds[at] = np.log(prior[kind] / (1 - prior[kind])) + sum(np.log(new[kind][j, 1, v[at, j]] / new[kind][j, 0, v[at, j]]) for j in range(v.shape[1]))
+        tables, p = new, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return prior, tables, dict(zip(keys, p.tolist()))
+
+
+#: Buckets of hashed trigrams.
+HASHED = 1024
+_VOTED = 1 + len(KINDS) + 3 * len(LABELERS)
+
+
+def _features(spans: list[tuple[str, str, str]]) -> np.ndarray:
+    """(spans, features) of (kind, votes, around): kind, votes and trigrams, these to a length of one."""
+    x = np.zeros((len(spans), _VOTED + HASHED))
+    x[:, 0] = 1
+    for i, (kind, vote, seen) in enumerate(spans):
+        x[i, 1 + KINDS.index(kind)] = 1
+        for j, c in enumerate(vote):
+            x[i, 1 + len(KINDS) + 3 * j + "-0+".index(c)] = 1
+        grams = [zlib.crc32(seen[k: k + 3].encode("utf-8", "replace")) % HASHED for k in range(len(seen) - 2)]
+        np.add.at(x[i], _VOTED + np.array(grams, int), 1 / max(1, len(grams)) ** 0.5)
     return x
 
 
-def train(counted: list[tuple[str, str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Classifier weights and the labelers' table from (kind, votes, bins, count) of the whole corpus."""
-    patterns: dict[tuple[str, str], int] = {}
-    for kind, vote, _, n in counted:
-        patterns[kind, vote] = patterns.get((kind, vote), 0) + n
-    if not patterns:
-        return np.zeros(len(_features(KINDS[0], "0" * len(LABELERS), 0))), np.zeros((len(LABELERS), 2, 3))
-    _, table, soft = reliabilities(patterns)
-    x = np.array([_features(k, v, b) for k, v, b, _ in counted])
-    y = np.array([soft[k, v] for k, v, _, _ in counted])
-    n = np.array([c for *_, c in counted], float)
-    n /= n.sum() / len(n)
+@dataclass(frozen=True)
+class Model:
+    """weights over _features. tables: P(vote | class) by kind, as learned."""
+
+    weights: np.ndarray
+    tables: dict[str, np.ndarray]
+
+    def probabilities(self, spans: list[tuple[str, str, str]]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_features(spans) @ self.weights, -30, 30))) if spans else np.empty(0)
+
+
+def train(patterns: dict[tuple[str, str], int], sample: list[tuple[str, str, str]], ridge: float = 1.0) -> Model:
+    """From counted (kind, votes) of the whole corpus and a sample of (kind, votes, around) to read."""
+    if not patterns or not sample:
+        return Model(np.zeros(_VOTED + HASHED), {})
+    _, tables, soft = reliabilities(patterns)
+    x, y = _features(sample), np.array([soft[k, v] for k, v, _ in sample])
     w = np.zeros(x.shape[1])
-    for _ in range(30):  # Newton steps with a ridge
+    for _ in range(15):  # Newton steps with a ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
-        w -= np.linalg.solve(hessian, x.T @ (n * (p - y)) + 0.1 * w)
-    return w, table
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w -= np.linalg.solve(hessian, x.T @ (p - y) + ridge * w)
+    return Model(w, tables)
 
 
 _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
-                      T.StructField("votes", T.StringType()), T.StructField("bins", T.IntegerType())])
-_ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("votes", pa.string()), ("bins", pa.int32())]))
+                      T.StructField("votes", T.StringType()), T.StructField("around", T.StringType())])
+_ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("votes", pa.string()), ("around", pa.string())]))
 
 
 def _spans(text: str | None) -> list[dict]:
     if not text:
         return []
     base = base_spans(text)
-    return [dict(zip(_SPAN.names, (KINDS[k], a, b, *votes(text, k, a, b)))) for k, a, b in [*base, *proposed_spans(text, base)]]
+    return [dict(zip(_SPAN.names, (KINDS[k], a, b, votes(text, k, a, b), around(text, a, b)))) for k, a, b in [*base, *proposed_spans(text, base)]]
 
 
 def propose(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """row (a struct of the columns keep, all if None) and found: spans with votes and feature bins. One pass, no shuffle."""
+    """row (a struct of the columns keep, all if None) and found: spans with votes and what is around them. One pass, no shuffle.
+
+    Defined cases: a null or empty text has no spans; repeated rows are read each; an empty table gives no rows; other
+    columns stay in row.
+    """
+    ship(docs.sparkSession)
     rows, keep, at = flat(docs, keep, text=text)
     schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("found", T.ArrayType(_SPAN))])
 
@@ -228,23 +267,38 @@ def propose(docs: DataFrame, *, text: str = "text", keep: list[str] | None = Non
     return rows.mapInArrow(run, schema).select(row_of(keep), "found")
 
 
+def learned(proposed: DataFrame, *, most: int = 4000) -> Model:
+    """A model from proposed spans: vote patterns (at most 9 * 3**6) are counted over all rows, and the classifier reads a
+    sample of at most `most` distinct spans of each kind, by a hash."""
+    one = proposed.select(F.explode("found").alias("s")).select("s.kind", "s.votes", "s.around")
+    patterns = {(r["kind"], r["votes"]): r["count"] for r in one.groupBy("kind", "votes").count().collect()}
+    order = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("votes", "around"), "votes", "around"))
+    drawn = one.distinct().withColumn("n", order).filter(F.col("n") <= most).select("kind", "votes", "around").orderBy("kind", "votes", "around").toArrow()
+    return train(patterns, list(zip(*(c.to_pylist() for c in drawn.columns))))
+
+
 def find(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, threshold: float = 0.8) -> DataFrame:
     """row (a struct of the columns keep, all if None) and found, the accepted spans by kind, then start, of whole texts.
 
-    The first pass writes each row's spans to the shared folder (a small fraction of the texts); vote and feature
-    patterns, at most 9 * 3**6 * 64 of them whatever the corpus, are counted over all rows and brought to the driver to
-    train; the second pass scores what was written. A proposed span that fails its checksum is never accepted. Offsets are code points, ends exclusive. Defined cases: a null text
-    has no spans; repeated rows are read each; an empty table gives no rows; other columns stay in row.
+    The first pass writes each row's spans to the shared folder (a small fraction of the texts), from which the model is
+    learned when this is called; the second pass scores what was written. A proposed span that fails its checksum is never
+    accepted. Offsets are code points, ends exclusive. Defined cases: a null text has no spans; repeated rows are read
+    each; an empty table gives no rows; other columns stay in row.
     """
     proposed = written(propose(docs, text=text, keep=keep), "personal")
-    one = proposed.select(F.explode("found").alias("s"))
-    counted = one.groupBy("s.kind", "s.votes", "s.bins").count().collect()
-    weights, _ = train(sorted((r["kind"], r["votes"], r["bins"], r["count"]) for r in counted))
-    accepted = {(r["kind"], r["votes"], r["bins"]) for r in counted
-                if r["kind"] in BASE or r["votes"][LABELERS.index("checksum")] != "-" and 1 / (1 + np.exp(-_features(r["kind"], r["votes"], r["bins"]) @ weights)) >= threshold}
-    extra = sorted(f"{k}{v}{b}" for k, v, b in accepted if k not in BASE)
-    ok = lambda s: s["kind"].isin(*BASE) | F.concat(s["kind"], s["votes"], s["bins"].cast("string")).isin(*extra)
-    return proposed.withColumn("found", F.filter("found", ok))
+    model, checksum = learned(proposed), LABELERS.index("checksum")
+    names = docs.columns if keep is None else keep
+    rows = proposed.select(*[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(names)], "found")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches):
+            found = b.column(b.num_columns - 1).to_pylist()
+            asked = [s for spans in found for s in spans if s["kind"] not in BASE and s["votes"][checksum] != "-"]
+            good = {id(s) for s, p in zip(asked, model.probabilities([(s["kind"], s["votes"], s["around"]) for s in asked])) if p >= threshold}
+            kept = [[s for s in spans if s["kind"] in BASE or id(s) in good] for spans in found]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(kept, _ARROW_SPANS)], b.schema.names)
+
+    return rows.mapInArrow(run, rows.schema).select(row_of(names), F.transform("found", lambda s: F.struct(s["kind"], s["start"], s["end"], s["votes"])).alias("found"))
 
 
 def digest(found: DataFrame) -> DataFrame:
