@@ -12,7 +12,7 @@ from qhapaq.shared import ship, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality rules reject."""
-    judged = quality.judge(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    judged = quality.judge(docs, public_tokenizers.path("piece_bpe_32k.model"), second_path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return judged.filter("kept").select("row.*")
 
 
@@ -37,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut what is left into sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [("quality rules", quality_rules), ("MinHash near-dedup", near_dedup), ("secret scans", secrets),
