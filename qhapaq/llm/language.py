@@ -18,19 +18,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qhapaq.llm.batches import flat, row_of, steps
+from qhapaq.shared import ship
 
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Bounds of the training sample: documents a language, of each an excerpt of so many characters from its middle,
-    and bytes of a dictionary. languages bounds what can be learned. level is zstandard's. reject: least score."""
+    """Bounds of the training sample: documents a language, of each an excerpt of so many characters from its middle; three
+    quarters of them are its dictionary, whole. level is zstandard's. reject: least score."""
 
-    documents: int = 240
+    documents: int = 80
     excerpt: int = 1600
-    dictionary: int = 98_304
-    languages: int = 500
     level: int = 9
     reject: float = 0.6
 
@@ -68,14 +67,16 @@ def trained(docs: DataFrame, rules: Rules | None = None, *, where: Column | None
             text: str = "text", lang: str = "lang") -> Model:
     """Learn from the rows that where holds for (all, if None) with text and language.
 
-    The sample is by a hash of id and text, so reruns and other partitionings draw the same. Excerpts only bound what
-    the dictionaries hold; classification reads whole texts.
+    The sample is by a hash of the id, so reruns and other partitionings draw the same. Excerpts only bound what
+    the dictionaries hold; classification reads whole texts. Every language that has such a row is learned; the driver holds
+    at most documents + 4 * sqrt(documents) excerpts of each, or so. Rows with a null id are not learned from. Without any
+    row the model knows no language.
     """
     rules = rules or Rules()
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
+    rows = docs.filter(F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
     rows = rows.filter(where) if where is not None else rows
     order = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit(11)), F.lit(1 << 40))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(rules.languages).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not counts:
         return Model((), (), 1.0, rules.level, rules.reject)
     share = {k: min(1.0, (rules.documents + 4 * rules.documents**0.5) / n) for k, n in counts.items()}
@@ -89,7 +90,7 @@ def trained(docs: DataFrame, rules: Rules | None = None, *, where: Column | None
     languages = tuple(sorted(sample))
     chosen = {k: [t for _, t in sorted(sample[k])[: rules.documents]] for k in languages}
     fit, held = {k: v[: max(1, len(v) * 3 // 4)] for k, v in chosen.items()}, {k: v[len(v) * 3 // 4:] for k, v in chosen.items()}
-    model = Model(languages, tuple("\n".join(dict.fromkeys(fit[k])).lower().encode()[-rules.dictionary:] for k in languages), 1.0, rules.level, rules.reject)
+    model = Model(languages, tuple("\n".join(dict.fromkeys(fit[k])).lower().encode() for k in languages), 1.0, rules.level, rules.reject)
     made = model.compressors()
     tests = [(i, sizes(t, made)) for i, k in enumerate(languages) for t in held[k] if t]
     if not tests:
@@ -106,6 +107,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str
     text, one without letters, or a model that learned nothing give "und", score 0, rejected; ties go to the language
     that sorts first; repeated rows are predicted each; an empty table gives no rows; other columns stay in row.
     """
+    ship(docs.sparkSession)
     rows, keep, at = flat(docs, keep, text=text)
     schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

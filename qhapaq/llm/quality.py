@@ -49,8 +49,7 @@ class Rules:
     token is that of an endless text; one of c characters has sqrt(1 + short_chars / c) times it. There, and in the fixed
     bands, the least entropy is at most short_entropy of what the number of tokens allows, and short_bytes more byte
     tokens are allowed, as line ends are some of few tokens. The fixed_ bands hold for texts of any script that the
-    vocabulary spells in up to three bytes a character. run: characters without a blank that the second vocabulary reads
-    at once; longer ones are read in pieces.
+    vocabulary spells in up to three bytes a character.
     """
 
     least_words: int = 20
@@ -71,7 +70,6 @@ class Rules:
     fixed_chars: tuple[float, float] = (0.3, 12.0)
     fixed_bytes: float = 0.9
     fixed_entropy: float = 3.5
-    run: int = 400
 
 
 def repeated_words(words: list, window: int) -> int:
@@ -137,14 +135,6 @@ def _second(path: str):
     return tiktoken.Encoding("second", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _pieces(text: str, run: int) -> list[str]:
-    """The text whole, or, if it has a run of so many characters without a blank or of blanks, in pieces of that length."""
-    blanks = any(text[i: i + run // 2].isspace() for i in range(0, len(text) - run // 2 + 1, run // 2))  # so every run of blanks is found
-    if blanks or max(map(len, text.split()), default=0) >= run:
-        return [text[i: i + run] for i in range(0, len(text), run)]
-    return [text]
-
-
 def _measures(text: str | None, model_path: str, rules: Rules, second_path: str | None = None) -> tuple:
     text = text or ""
     words = text.encode().split()
@@ -157,7 +147,7 @@ def _measures(text: str | None, model_path: str, rules: Rules, second_path: str
     return (len(words), word_chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)),
             repeated_words(words, rules.window), len(ids), word_chars / len(ids) if len(ids) else None,
             float(is_byte[ids].mean()) if len(ids) else None, float(-(p * np.log2(p)).sum()) if len(ids) else None, script_of(text),
-            word_chars / sum(len(_second(second_path).encode_ordinary(t)) for t in _pieces(text, rules.run)) if words and second_path else None)
+            word_chars / len(_second(second_path).encode_ordinary(text)) if words and second_path else None)
 
 
 def _key(text: str | None) -> int:

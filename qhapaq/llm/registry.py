@@ -46,8 +46,8 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
-    model = language.trained(docs, where=~F.coalesce(held_out, F.lit(False)))
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
+    model = language.trained(docs, where=~held_out)
     found = language.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return found.select("row.doc_id", "lang_pred", "score", "rejected").select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 

@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qhapaq.llm.batches import steps
+from qhapaq.shared import ship
 
 #: The published pre-token pattern of the byte-level vocabularies, and its form for ASCII texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Characters whose letter, number and blank classes are the same in all Unicode versions of the libraries here.
 SETTLED = r"[\x00-\u0557\u2000-\u206f\u20a0-\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
-LONG = 512
+LONG = 4096
 #: Bounds of a worker's memory: characters cut at a time, and distinct pre-tokens whose counts are kept.
 SLICE_CHARS, KEPT = 2_000_000, 200_000
 NONE = np.int32(2**31 - 1)
@@ -46,7 +47,7 @@ class PairTable:
     """(left, right) -> merge rank, as an open-addressed numpy hash table."""
 
     def __init__(self, left: np.ndarray, right: np.ndarray, n_symbols: int):
-        self.n, self.bits = np.uint64(n_symbols), 19
+        self.n, self.bits = np.uint64(n_symbols), max(4, (8 * len(left)).bit_length())
         keys = left.astype(np.uint64) * self.n + right.astype(np.uint64)
         size = 1 << self.bits
         self.keys, self.ranks = np.full(size, 2**64 - 1, np.uint64), np.full(size, NONE, np.int32)
@@ -78,12 +79,23 @@ class PairTable:
         return out
 
 
+def _refuse_others(spec: dict) -> None:
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = (model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+             and not spec.get("normalizer") and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+             and not any(x.get(k) for x in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")))
+    if not plain:
+        raise ValueError("not a plain byte-level BPE file")
+
+
 class ByteBpe:
-    """A byte-level BPE vocabulary in the tokenizers library's JSON form."""
+    """A byte-level BPE vocabulary in the tokenizers library's JSON form. Files that ask for more than this class does
+    (other models or pre-tokens, normalizers, prefix blanks, unlike added tokens) raise ValueError."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _refuse_others(spec)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in merges]
         alphabet = byte_alphabet()
@@ -92,7 +104,6 @@ class ByteBpe:
             self.first[b] = vocab[ch]
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
         self.pairs = PairTable(np.array([vocab[a] for a, _ in merges]), np.array([vocab[b] for _, b in merges]), len(vocab))
-        self.rank = {(vocab[a], vocab[b]): i for i, (a, b) in reversed([*enumerate(merges)])}
         specials = [x["content"] for x in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.any, self.ascii, self.settled = regex.compile(PATTERN), re.compile(ASCII_PATTERN), re.compile(SETTLED)
@@ -151,25 +162,43 @@ class ByteBpe:
         return out
 
     def _count_long(self, piece: bytes) -> int:
-        sym = self.first[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(sym)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(r, i) for i in range(n - 1) if (r := self.rank.get((sym[i], sym[i + 1]))) is not None]
-        heapq.heapify(heap)
+        sym = np.append(self.first[np.frombuffer(piece, np.uint8)], np.int32(0))
+        n = len(piece)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)  # place n is the end
+        rank = np.full(n + 1, NONE, np.int32)
+        rank[: n - 1] = self.pairs.look_up(sym[: n - 1], sym[1:n])
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def listed(at: np.ndarray) -> None:
+            at = at[rank[at] != NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            for part in np.split(at, np.flatnonzero(np.diff(rank[at])) + 1) if len(at) else ():
+                r = int(rank[part[0]])
+                if r not in places:
+                    heapq.heappush(ranks, r)
+                places.setdefault(r, []).append(part)
+
+        listed(np.arange(n - 1))
         left = n
-        while heap:
-            r, i = heapq.heappop(heap)
-            j = after[i] if sym[i] >= 0 else -1
-            if j < 0 or self.rank.get((sym[i], sym[j])) != r:
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
                 continue
-            sym[i], sym[j], left = int(self.merged[r]), -1, left - 1
-            after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-                if (x := self.rank.get((sym[i], sym[k]))) is not None:
-                    heapq.heappush(heap, (x, i))
-            if (h := before[i]) >= 0 and (x := self.rank.get((sym[h], sym[i]))) is not None:
-                heapq.heappush(heap, (x, h))
+            run = np.flatnonzero(np.r_[True, after[at[:-1]] != at[1:]])  # equal neighbours overlap: every second one merges
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0]
+            gone = after[at]
+            sym[at], rank[gone] = self.merged[r], NONE
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at][inner]] = at[inner]
+            left -= len(at)
+            touched = np.unique(np.concatenate([at, before[at][before[at] >= 0]]))
+            right = after[touched]
+            rank[touched] = np.where(right < n, self.pairs.look_up(sym[touched], sym[np.minimum(right, n)]), NONE)
+            listed(touched)
         return left
 
     def _learn(self, pieces: Iterable[str]) -> None:
@@ -232,5 +261,6 @@ def count_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()),
                                               pa.array(bpe.count(texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -11,10 +11,10 @@ from qhapaq.llm import packing
 PATH, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def check(docs, rules=packing.Rules()):
+def check(docs, rules=packing.Rules(), ranks=RANKS):
     library = Tokenizer.from_file(PATH)
     ids = [(r["doc_id"], np.array(library.encode(r["text"] or "", add_special_tokens=False).ids + [1], "<u4")) for r in docs.collect()]
-    rows = packing.pack(docs, PATH, RANKS, rules=rules).collect()
+    rows = packing.pack(docs, PATH, ranks, rules=rules).collect()
     expect = sorted((-1 if i is None else i, len(x)) for i, x in ids)
     whole = defaultdict(list)
     for r in rows:
@@ -47,17 +47,21 @@ def check(docs, rules=packing.Rules()):
 def test_documents(documents):
     assert check(documents.coalesce(1)) < 0.02
     check(documents.repartition(3), packing.Rules(block_tokens=5000))
+    rows = packing.pack(documents.coalesce(1), PATH, RANKS).collect()
+    cut = {r["doc_id"] for r in rows if r["doc_tokens"] <= 2048 and r["length"] < r["doc_tokens"]}
+    assert len(cut) < 0.27 * len({r["doc_id"] for r in rows if r["doc_tokens"] <= 2048})
 
 
 def test_odd_rows(odd, none):
     check(odd)
-    assert packing.pack(none, PATH, RANKS).count() == 0
+    check(odd, ranks=None)
+    assert packing.pack(none, PATH).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(30))
 def test_cuts_are_the_cheapest(seed):
     rng = np.random.default_rng(seed)
-    rules = packing.Rules(length=16, short=(4, 8), sentence_cut=1, word_cut=3, per_sequence=2, grid=2, far=4)
+    rules = packing.Rules(length=16, short=(4, 8), sentence_cut=1, word_cut=3, per_sequence=2, grid=2, fitting_cut=int(rng.integers(0, 5)))
     lengths = rng.integers(1, 12, rng.integers(1, 8))
     inner = np.unique(rng.integers(1, lengths.sum() + 1, 5))
     at, penalty = packing.candidates(lengths, inner[inner < lengths.sum()], rules)

@@ -1,3 +1,4 @@
+import json
 import random
 
 import public_tokenizers
@@ -40,6 +41,24 @@ def test_special_and_long_pieces(library):
     assert tokens.vocabulary(PATH).count(texts) == counts(library, texts)
 
 
+@pytest.mark.parametrize("letters", ["etaoin", "a", "aab", "abcdefghijklmnopqrstuvwxyz", "éüñß"])
+def test_long_sequences_merge_by_rank(library, monkeypatch, letters):
+    monkeypatch.setattr(tokens, "LONG", 1)
+    rng = random.Random(letters)
+    bpe = tokens.ByteBpe(PATH)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (*range(2, 60), 500, 3001, 20_000)]
+    assert bpe.count_pieces([t.encode() for t in texts]).tolist() == counts(library, texts)
+
+
+def test_other_files_are_refused(tmp_path):
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}},
+                   {"model": spec["model"] | {"ignore_merges": True}}, {"model": spec["model"] | {"type": "WordPiece"}}):
+        (tmp_path / "other.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            tokens.ByteBpe(str(tmp_path / "other.json"))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8", exclude_categories=("Cs", "Cn", "Co")), st.sampled_from(" \n'tsreeaaabc01")), max_size=60))
 def test_any_text(text):
