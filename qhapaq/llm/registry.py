@@ -22,7 +22,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), mixing.in_turn(3, 1, 2), keep=["doc_id"])
     goals = spark.createDataFrame([([s], n, t) for s, n, t in zip(made.sources, made.sizes, made.targets)],
                                   "pattern array<string>, source_size long, target double")
-    if len(made.sources) <= mixing.MOST_PATTERNS:
+    if len(made.sources) <= mixing.BROADCAST_PATTERNS:
         goals = F.broadcast(goals)
     return mixed.join(goals, "pattern").select("row.doc_id", "size", "source_size", "target", "taken")
 

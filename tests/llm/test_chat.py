@@ -44,3 +44,12 @@ def test_main_path_runs_no_python(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     plan = chat.format_preferences(chat.swapped_answers(df))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_clashing_columns_and_text_ids(spark):
+    turns = [("a", 1, "user", "q"), ("a", 2, "assistant", "x"), ("b-9", 1, "user", "q"), ("b-9", 2, "assistant", "y"), (None, 1, "user", "z")]
+    named = spark.createDataFrame([(*t, 7, 8) for t in turns], "c string, n int, who string, said string, _pair int, `_a` int")
+    pairs = chat.swapped_answers(named, conv_id="c", turn="n", role="who", text="said")
+    got = {r["conv_id"]: r for r in chat.format_preferences(pairs.selectExpr("*", "1 as _a", "2 as _n", "3 as prompt", "4 as cut", "5 as rest", "6 as `x.y`")).collect()}
+    assert set(got) == {"a", "b-9"} and got["a"]["usable"] and got["a"]["_a"] == 1 and got["a"]["x.y"] == 6 and got["a"]["cut"] == 4
+    assert got["a"]["prompt"] == "<|im_start|>user\nq<|im_end|>\n" and got["a"]["n_prompt_turns"] == 1

@@ -1,5 +1,7 @@
 import itertools
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,8 +56,53 @@ def test_overlapping_sources(spark):
     assert {tuple(r["pattern"]) for r in mixed.collect()} == {("a",), ("b",), ("a", "b")}
 
 
-def test_too_many_patterns_raise(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)
-    docs = spark.createDataFrame([(i, "w", str(i)) for i in range(4)], "doc_id long, text string, source string")
-    with pytest.raises(ValueError):
-        mixing.mix(docs, mixing.in_turn(1))
+def cheapest(capacity, quota, repeats):
+    """(flow, cost) by shortest augmenting paths, a token at a time, over the whole network."""
+    nodes = ["s", *capacity, *[("q", x) for x in quota], "t"]
+    arcs = [["s", p, n, r + 1] for p, n in capacity.items() for r in range(repeats)] + [[p, ("q", x), 10**6, 0] for p in capacity for x in p] + [[("q", x), "t", n, 0] for x, n in quota.items()]
+    arcs = [a for x in arcs for a in (x, [x[1], x[0], 0, -x[3]])]
+    flow = cost = 0
+    while True:
+        best, came = {"s": 0}, {}
+        for _ in nodes:
+            for i, (a, b, n, c) in enumerate(arcs):
+                if n and a in best and best[a] + c < best.get(b, 10**9):
+                    best[b], came[b] = best[a] + c, i
+        if "t" not in best:
+            return flow, cost
+        at = "t"
+        while at != "s":
+            arcs[came[at]][2] -= 1
+            arcs[came[at] ^ 1][2] += 1
+            at = arcs[came[at]][0]
+        flow, cost = flow + 1, cost + best["t"]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_flow_is_the_cheapest_greatest(seed):
+    rng = random.Random(seed)
+    sources = "abcd"[: rng.randint(2, 4)]
+    capacity = {tuple(sorted(rng.sample(sources, rng.randint(1, len(sources))))): rng.randint(1, 6) for _ in range(5)}
+    quota, repeats = {x: rng.randint(0, 9) for x in sources}, rng.randint(1, 3)
+    flow = mixing.route(capacity, quota, repeats)
+    out = {p: sum(f.values()) for p, f in flow.items()}
+    assert all(sum(f.get(x, 0) for f in flow.values()) <= n for x, n in quota.items()) and all(out[p] <= repeats * n for p, n in capacity.items())
+    price = sum(min(max(out[p] - r * n, 0), n) * (r + 1) for p, n in capacity.items() for r in range(repeats))
+    assert (sum(out.values()), price) == cheapest(capacity, quota, repeats)
+
+
+def test_many_patterns_are_planned_in_time():
+    rng = random.Random(1)
+    names = [f"s{i}" for i in range(60)]
+    capacity = {tuple(sorted(rng.sample(names, rng.randint(1, 4)))): rng.randint(1, 1000) for _ in range(20_000)}
+    size = sum(capacity.values())
+    began = time.perf_counter()
+    flow = mixing.route(capacity, {x: int(size * 1.5 * (3 if i % 3 == 0 else 1) / 100) for i, x in enumerate(names)}, 2)
+    assert time.perf_counter() - began < 60 and sum(sum(f.values()) for f in flow.values()) > size
+
+
+def test_more_patterns_than_are_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "w " * (i % 7), [f"s{i % 5}", f"s{i % 3}"]) for i in range(300)], "doc_id long, text string, source array<string>")
+    want = sorted(tuple(r) for r in mixing.mix(rows, mixing.in_turn(3, 1, 2))[1].select("row.doc_id", "taken").collect())
+    monkeypatch.setattr(mixing, "BROADCAST_PATTERNS", 0)
+    assert sorted(tuple(r) for r in mixing.mix(rows, mixing.in_turn(3, 1, 2))[1].select("row.doc_id", "taken").collect()) == want
