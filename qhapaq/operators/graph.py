@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from qhapaq.config import SETTINGS, Settings
 from qhapaq.functions import roads
 from qhapaq.functions.geo import haversine, node
-from qhapaq.shared import written
+from qhapaq.shared import drop, written
 
 
 def relevant_ways(ways: DataFrame, profile: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
@@ -94,7 +94,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(
             F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = written(small.filter(F.col("a") != F.col("b")).distinct(), "edges")
+        last, edges = edges, written(small.filter(F.col("a") != F.col("b")).distinct(), "edges")
+        drop(last, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -114,11 +115,12 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return edges.join(kept.withColumnRenamed("node", "src"), "src", "left_semi")
 
 
-def contracted(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def contracted(edges: DataFrame, rounds: int = 400) -> DataFrame:
     """Undirected edges (a, b, w) without nodes of degree two: their two edges become one of the added length.
 
     In each round every such node whose hash is less than that of its like neighbours goes, so that no two adjacent ones
-    go at once; parallel edges and loops that arise keep the least weight or fall away.
+    go at once; parallel edges and loops that arise keep the least weight or fall away. About a third go in a round, so the
+    number of rounds grows with the logarithm of the longest chain; more than `rounds` raise an error.
     """
     now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").filter("a <> b").groupBy("a", "b").agg(F.min("w").alias("w")), "chains")
     for r in range(rounds):
@@ -129,9 +131,10 @@ def contracted(edges: DataFrame, rounds: int = 40) -> DataFrame:
         near = two.withColumn("o", F.explode(F.array("p", "q"))).join(like, "o").groupBy("a").agg(F.min("ho").alias("ho"))
         gone = written(two.join(near, "a", "left").filter(F.col("ho").isNull() | (h("a") < F.col("ho"))).select("a", "p", "q", "w"), "chains-gone")
         if gone.isEmpty():
-            break
+            return now
         ids = gone.select("a")
         stay = now.join(ids, "a", "left_anti").join(ids.withColumnRenamed("a", "b"), "b", "left_anti")
         fresh = gone.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "w")
-        now = written(stay.select("a", "b", "w").unionByName(fresh).groupBy("a", "b").agg(F.min("w").alias("w")), "chains")
-    return now
+        last, now = now, written(stay.select("a", "b", "w").unionByName(fresh).groupBy("a", "b").agg(F.min("w").alias("w")), "chains")
+        drop(last, gone)
+    raise RuntimeError("chains did not settle")

@@ -33,7 +33,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._qhapaq_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what written() made of these, once nothing will read it any more."""
+    for df in tables:
+        at = (df.sparkSession, df._qhapaq_path)
+        if at in _written:
+            _written.remove(at)
+            _delete(*at)
 
 
 def ship(spark: SparkSession) -> None:
@@ -50,12 +61,15 @@ def ship(spark: SparkSession) -> None:
     context._qhapaq_shipped = True
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _clear() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; its folder is the cluster's to clear
             return

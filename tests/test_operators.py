@@ -252,9 +252,13 @@ def test_paths(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("a", "c", 9.0), ("a", "c", 5.0), ("c", "a", 1.0), ("x", "y", 1.0), ("a", "q", None)], "src string, dst string, w double")
     ends = spark.createDataFrame([("c",), ("z",)], "node string")
     expect = {("a", "c"): 3, ("b", "c"): 2, ("c", "c"): 0, ("z", "z"): 0}
-    for bound in (100, 0):
-        assert {(r["src"], r["node"]): r["distance"] for r in paths.distances_to(edges, ends, broadcast_edges=bound).collect()} == expect
-    near = {r["src"]: (r["node"], r["distance"]) for r in paths.nearest_of(edges, spark.createDataFrame([("c",), ("b",), ("y",)], "node string")).collect()}
+    for bound in (10_000, 0):
+        assert {(r["src"], r["node"]): r["distance"] for r in paths.distances_to(edges, ends, broadcast_bytes=bound).collect()} == expect
+        asked = spark.createDataFrame([("a",), ("z",), ("none",)], "node string")
+        assert {(r["src"], r["node"]): r["distance"] for r in paths.distances_to(edges, ends, origins=asked, broadcast_bytes=bound).collect()} == {("a", "c"): 3, ("z", "z"): 0}
+        sources = spark.createDataFrame([("c",), ("b",), ("y",), ("off",)], "node string")
+        near = {r["src"]: (r["node"], r["distance"]) for r in paths.nearest_of(edges, sources, broadcast_bytes=bound).collect()}
+        assert near.pop("off") == ("off", 0)
     assert near == {"a": ("b", 1), "b": ("b", 0), "c": ("c", 0), "x": ("y", 1), "y": ("y", 0)}
     origins = spark.createDataFrame([("o1", "a", True), ("o2", "b", False), ("o3", "x", True)], "cod_ccpp string, node string, snap_ok boolean")
     facilities = spark.createDataFrame([("f", "c", True)], "cod_ipress string, node string, snap_ok boolean")
@@ -262,15 +266,18 @@ def test_paths(spark):
     assert od == {"o1": 3, "o2": None, "o3": None}
 
 
-def test_array_and_loop_searches_agree(spark):
+def test_searches_agree_with_joins(spark):
     import numpy as np
     rng = np.random.default_rng(1)
-    edges = spark.createDataFrame([(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 40, 900), rng.integers(0, 45, 900), rng.random(900))], "src long, dst long, w double")
-    ends = spark.createDataFrame([(3,), (44,)], "node long")
-    got = [{(r[0], r[1]): r[2] for r in d.collect()} for d in (paths.distances_to(edges, ends), paths.distances_to(edges, ends, broadcast_edges=0))]
-    a = paths._wide(0, np.array([0, 2, 3, 3]), np.array([1, 2, 2]), np.array([1.0, 5.0, 1.0]))
-    assert a == paths._narrow(0, [0, 2, 3, 3], [1, 2, 2], [1.0, 5.0, 1.0]) == {0: 0, 1: 1, 2: 2}
-    assert got[0].keys() == got[1].keys() and all(abs(got[0][k] - got[1][k]) < 1e-12 for k in got[0])
+    edges = spark.createDataFrame([(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 40, 900), rng.integers(0, 45, 900), rng.integers(0, 5, 900))], "src long, dst long, w double")
+    ends = spark.createDataFrame([(3,), (44,), (17,)], "node long")
+    got = [{(r[0], r[1]): r[2] for r in d.collect()} for d in (paths.distances_to(edges, ends), paths.distances_to(edges, ends, broadcast_bytes=0))]
+    assert got[0] == got[1]
+    near = [{r[0]: (r[1], r[2]) for r in d.collect()} for d in (paths.nearest_of(edges, ends), paths.nearest_of(edges, ends, broadcast_bytes=0))]
+    assert near[0] == near[1] == {s: min((d, n) for (x, n), d in got[0].items() if x == s)[::-1] for s, _ in got[0]}
+    nodes, by_number = paths.numbered(edges.filter("src <> dst"))
+    assert sorted(r["i"] for r in nodes.collect()) == list(range(nodes.count()))
+
 
 
 def test_scenario_counts_places_without_a_route_in_the_gain_only(spark):

@@ -29,6 +29,19 @@ def test_routing_end_to_end(spark):
     assert report["car", "demanda"]["n_puntos"] == 3 and report["car", "demanda"]["n_snap_fallido"] == 1
 
 
+def test_routing_by_department(spark):
+    line = [(i * 0.001, 0.0) for i in range(9)]
+    ways = spark.createDataFrame([(1, line, "primary", "36", None, None)], WAYS)
+    places = spark.createDataFrame([("a", 0.0, 0.0, "Piura"), ("b", 0.004, 0.0, "UCAYALI"), ("c", 0.0, 0.0, "Loreto")], "cod_ccpp string, lon double, lat double, departamento string")
+    facilities = spark.createDataFrame([("P", 0.008, 0.0, "II-1", True, "PIURA"), ("U", 0.001, 0.0, "II-1", True, "Ucayali")],
+                                       "cod_ipress string, lon double, lat double, categoria_norm string, resolutiva boolean, departamento string")
+    graphs = {}
+    out = routing.routed(places, facilities, ways, ("car", "bike", "plane"), departments=("Piura", "Ucayali"), boxes={"Piura": (-1.0, -1.0, 1.0, 1.0)}, graphs=graphs)
+    assert set(out.failed) == {("Piura", "plane"), ("Ucayali", "plane")} and len(graphs) == 4
+    near = {(r["cod_ccpp"], r["profile"]): r["cod_destino_cercano"] for r in out.access().collect()}
+    assert near == {("a", "car"): "P", ("a", "bike"): "P", ("b", "car"): "U", ("b", "bike"): "U"}  # the nearer one is across the border
+
+
 def test_stream_keeps_the_minimum(spark, tmp_path):
     rows = [[("o", "F1", "car", 50.0, None)], [("o", "F2", "car", 20.0, 7.0), ("p", "F1", "car", None, None)], [("o", "F3", "car", 99.0, None)]]
     for batch in rows:
