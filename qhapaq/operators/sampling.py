@@ -26,11 +26,11 @@ def quotas(rows: DataFrame, most: int = SETTINGS.sample, stratum: str = "ubigeo_
 
 
 def sample(rows: DataFrame, code: str, most: int = SETTINGS.sample, stratum: str = "ubigeo_distrito", seed: int = SETTINGS.seed) -> DataFrame:
-    """The quotas' rows of each stratum, drawn without replacement by a seeded hash of the code; en_muestra is true.
+    """The quotas' rows of each stratum, drawn without replacement by the MD5 of seed:code; en_muestra is true.
 
     The draw is the same on every run and partitioning. Strata are districts, thousands of them; each is ordered on its own.
     """
-    order = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), F.col(code).cast("string")), F.col(code))
+    order = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(code).cast("string"))), F.col(code))
     drawn = rows.join(quotas(rows, most, stratum).select(stratum, "cuota"), stratum).withColumn("_i", F.row_number().over(order))
     return drawn.filter(F.col("_i") <= F.col("cuota")).drop("_i", "cuota").withColumn("en_muestra", F.lit(True))
 

@@ -364,12 +364,14 @@ def haversine(spark, d):
 
 
 @query("mojibake_repair", """
-with m as (select doc_id, replace(replace(case when doc_id%3 = 0 then replace(text, 'ñ', 'ÿ') else text end, 'ÿ', 'ñ'), 'Ÿ', 'Ñ') as value, doc_id%3 = 0 and text like '%ñ%' as changed from documents)
-select doc_id, md5(value) as value_md5, changed from m where not regexp_matches(value, '[ÃÂ�]')""")
+with m as (select doc_id, text, case when doc_id%3 = 0 then replace(replace(text, 'ÿ', 'ñ'), 'Ÿ', 'Ñ') else text end as value from documents)
+select doc_id, md5(value) as value_md5, coalesce(doc_id%3 = 0 and regexp_matches(text, '[ñÿŸ]') or doc_id%3 = 1 and regexp_matches(text, '[\\x{80}-\\x{FF}]'), false) as changed from m""")
 def mojibake_repair(spark, d):
+    """Every third text with wrong letters, every third encoded twice: the repair must give back all texts as they were."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    fixed = text.repaired(F.when(F.col("doc_id") % 3 == 0, F.translate("text", "ñ", "ÿ")).otherwise(F.col("text")))
-    return docs.select("doc_id", fixed.alias("r")).select("doc_id", F.md5("r.value").alias("value_md5"), F.col("r.changed").alias("changed"))
+    twice = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    broken = F.when(F.col("doc_id") % 3 == 0, F.translate("text", "ñ", "ÿ")).when(F.col("doc_id") % 3 == 1, twice).otherwise(F.col("text"))
+    return docs.select("doc_id", text.repaired(broken).alias("r")).select("doc_id", F.md5("r.value").alias("value_md5"), F.col("r.changed").alias("changed"))
 
 
 JUDGED = """
@@ -436,9 +438,16 @@ def stratified_quota(spark, d):
     return sampling.quotas(view(spark, d, "f_demand"), 500)
 
 
-@query("stratified_sample")
+@query("stratified_sample", with_views("""
+with q as (select ubigeo_distrito, count(*) as n, count(*)*500/(select count(*) from f_demand)::double as q from f_demand group by 1),
+b as (select *, floor(q) as base, round(q - floor(q), 9) as rest from q),
+p as (select *, row_number() over (order by rest desc, ubigeo_distrito) as place, 500 - sum(base) over () as left_ from b),
+c as (select ubigeo_distrito, case when (select count(*) from f_demand) <= 500 then n else least(n, base + case when place <= left_ then 1 else 0 end) end as cuota from p)
+select cod_ccpp, ubigeo_distrito, true as en_muestra from (
+  select cod_ccpp, d.ubigeo_distrito, cuota, row_number() over (partition by d.ubigeo_distrito order by md5('42:' || cod_ccpp), cod_ccpp) as i from f_demand d join c using (ubigeo_distrito))
+where i <= cuota""", "f_demand"))
 def stratified_sample(spark, d):
-    return sampling.sample(view(spark, d, "f_demand"), "cod_ccpp", 500)
+    return sampling.sample(view(spark, d, "f_demand"), "cod_ccpp", 500).select("cod_ccpp", "ubigeo_distrito", "en_muestra")
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -611,29 +620,52 @@ def od_matrix(spark, d):
     return paths.od_matrix(origins, ends, paths.distances_to(edges, connected), paths.distances_to(far, connected))
 
 
-@query("routing_matrix")
-def routing_matrix(spark, d):
-    """Minutes from every junction of the car graph to every facility, which stand on junctions."""
+ROUTES = """
+r0 as (select from_x || ':' || from_y as src, to_x || ':' || to_y as dst, length/(50*1000/3600e0) as w from (
+  select way_id, from_x, from_y, to_x, to_y, length from s union all select way_id, to_x, to_y, from_x, from_y, length from s where way_id%4 <> 0)),
+rg as (select src, dst, min(w) as w from r0 group by 1, 2),
+rf as (select distinct cast(round((-80e0 + s_suppkey%40/100e0)*1e7) as bigint) || ':' || cast(round((-10e0 + s_suppkey*7%30/100e0)*1e7) as bigint) as node from supplier),
+t(src, node, d) using key (src, node) as (
+  select node, node, 0e0 from rf
+  union (select rg.src, t.node, min(t.d + rg.w) as d from t join rg on rg.dst = t.src left join recurring.t k on k.src = rg.src and k.node = t.node
+    group by rg.src, t.node having min(t.d + rg.w) < coalesce(min(k.d), 'infinity'::double)))
+"""
+
+
+def _junctions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The car graph with junctions as texts, and the facilities, which stand on junctions."""
     e = graph.edges(_points(spark, d), "car")
     edges = e.select(F.concat_ws(":", "src.x", "src.y").alias("src"), F.concat_ws(":", "dst.x", "dst.y").alias("dst"), F.col("travel_time").alias("w"))
     corner = lambda c, base, n: F.round((base + c % n / 100.0) * 1e7).cast("long").cast("string")
-    stands = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat_ws(":", corner(F.col("s_suppkey"), -80.0, 40), corner(F.col("s_suppkey") * 7, -10.0, 30)).alias("node"))
-    return paths.distances_to(edges, stands).withColumn("minutos", F.col("distance") / 60)
+    return edges, spark.read.parquet(f"{d}/supplier.parquet").select(F.concat_ws(":", corner(F.col("s_suppkey"), -80.0, 40), corner(F.col("s_suppkey") * 7, -10.0, 30)).alias("node"))
+
+
+@query("routing_matrix", with_views("with " + POINTS.strip() + "," + ROUTES + "select src, node, round(d, 3) as distance, round(d/60, 4) as minutos from t", "f_point", recursive=True))
+def routing_matrix(spark, d):
+    """Seconds and minutes from every junction of the car graph to every facility."""
+    far = paths.distances_to(*_junctions(spark, d))
+    return far.select("src", "node", F.round("distance", 3).alias("distance"), F.round(F.col("distance") / 60, 4).alias("minutos"))
+
+
+@query("routing_nearest", with_views("with " + POINTS.strip() + "," + ROUTES + "select src, round(min(d), 3) as distance from t group by src", "f_point", recursive=True))
+def routing_nearest(spark, d):
+    """Seconds from every junction to its nearest facility, from one search; which of equally near ones it is depends on the last bits."""
+    return paths.nearest_of(*_junctions(spark, d)).select("src", F.round("distance", 3).alias("distance"))
 
 
 @query("connected_component", """
-with recursive e as (select c_custkey%97 as a, (c_custkey*7)%53 + 100*(c_custkey%2) as b from customer where c_custkey%3 = 0),
+with recursive e as (select c_custkey%97 as a, (c_custkey*7)%53 + 100*(c_custkey%2) as b from customer),
 u as (select a, b from e union select b, a from e),
 r as (select a as x, a as y from u union select r.x, u.b from r join u on u.a = r.y)
 select x as node, min(y) as component from r group by x""")
 def connected_component(spark, d):
     c = F.col("c_custkey")
-    rows = spark.read.parquet(f"{d}/customer.parquet").filter(c % 3 == 0).select((c % 97).alias("a"), ((c * 7) % 53 + 100 * (c % 2)).alias("b"))
+    rows = spark.read.parquet(f"{d}/customer.parquet").select((c % 97).alias("a"), ((c * 7) % 53 + 100 * (c % 2)).alias("b"))
     return graph.components(rows)
 
 
 @query("largest_component_edges", """
-with recursive e as (select distinct c_custkey%97 as src, (c_custkey*7)%53 + 100*(c_custkey%2) as dst from customer where c_custkey%3 = 0 and c_custkey < 60),
+with recursive e as (select distinct c_custkey%97 as src, (c_custkey*7)%53 + 100*(c_custkey%2) as dst from customer),
 u as (select src as a, dst as b from e union select dst, src from e),
 r as (select a as x, a as y from u union select r.x, u.b from r join u on u.a = r.y),
 c as (select x as node, min(y) as component from r group by x),
@@ -641,7 +673,7 @@ t as (select component from c group by 1 order by count(*) desc, component limit
 select src, dst from e where src in (select node from c join t using (component))""")
 def largest_component_edges(spark, d):
     c = F.col("c_custkey")
-    rows = spark.read.parquet(f"{d}/customer.parquet").filter((c % 3 == 0) & (c < 60)).select((c % 97).alias("src"), ((c * 7) % 53 + 100 * (c % 2)).alias("dst")).distinct()
+    rows = spark.read.parquet(f"{d}/customer.parquet").select((c % 97).alias("src"), ((c * 7) % 53 + 100 * (c % 2)).alias("dst")).distinct()
     return graph.largest_component(rows)
 
 
@@ -674,5 +706,6 @@ def largest_component_edges_orders(spark, d):
 
 @query("chain_contraction")
 def chain_contraction(spark, d):
-    edges = view(spark, d, "f_edges").filter("dst = (src + 1) % 24 or src % 5 = 0")
-    return graph.contracted(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("w").cast("double").alias("w")))
+    """The ways of lineitem as chains of points, contracted: every way's points that no other way meets fall away."""
+    edges, _ = _junctions(spark, d)
+    return graph.contracted(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w"))
