@@ -8,7 +8,8 @@ where a document has no language, its script stands in. Classes go by characters
 class has too few texts, the language is asked, then the script, then fixed bands, so that every document is judged.
 
 A band is the median and a multiple of a spread, which is the lesser of the distances from the median to the 10th and
-the 90th percentile: bad texts lie on one side, so they do not widen it. Percentiles come from counts of the measures rounded to
+the 90th percentile: bad texts lie on one side, so they do not widen it (of a script, which has many languages, the
+greater). Percentiles come from counts of the measures rounded to
 a grid, so they are exact for any partitioning and no task holds more than the grid.
 """
 
@@ -45,7 +46,9 @@ class Rules:
 
     The least_ values keep a band from closing where most documents are alike, the most_ values from opening where a
     group of near copies holds a percentile (as shares of the median for characters per token, else absolute); groups of
-    fewer than support texts have no band, and the next wider one judges. Over all lengths the spread of characters per
+    fewer than support texts have no band, and the next wider one judges. The script's band is for languages that are too
+    rare for one, which may differ from those that fill it: its spread is the greater of the two sides, and the script_
+    values are its least_ ones. Over all lengths the spread of characters per
     token is that of an endless text; one of c characters has sqrt(1 + short_chars / c) times it. There, and in the fixed
     bands, the least entropy is at most short_entropy of what the number of tokens allows, and short_bytes more byte
     tokens are allowed, as line ends are some of few tokens. The fixed_ bands hold for texts of any script that the
@@ -63,6 +66,8 @@ class Rules:
     most_chars: float = 0.5
     most_bytes: float = 0.25
     most_entropy: float = 2.5
+    script_chars: float = 0.25
+    script_entropy: float = 1.0
     support: int = 30
     short_chars: float = 330.0
     short_entropy: float = 0.5
@@ -190,7 +195,9 @@ def _spread(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
               .withColumns({"_upto": F.sum("_c").over(upto), "_n": F.sum("_c").over(Window.partitionBy(*keys))}))
     at = lambda q: F.min(F.when(F.col("_upto") >= q * F.col("_n"), F.col(value)))
     found = placed.groupBy(*keys).agg(F.max("_n").alias("_n"), at(0.1).alias("_lo"), at(0.5).alias("_mid"), at(0.9).alias("_hi"))
-    return found.select(*keys, "_n", "_mid", (F.least(F.col("_hi") - F.col("_mid"), F.col("_mid") - F.col("_lo")) / 1.28).alias("_sd"))
+    sides = F.col("_hi") - F.col("_mid"), F.col("_mid") - F.col("_lo")
+    spread = F.when(F.col("_level") == SCRIPT_LEVEL, F.greatest(*sides)).otherwise(F.least(*sides))  # a script's languages lie on either side
+    return found.select(*keys, "_n", "_mid", (spread / 1.28).alias("_sd"))
 
 
 def bands(measured: DataFrame, rules: Rules) -> DataFrame:
@@ -221,13 +228,14 @@ def bands(measured: DataFrame, rules: Rules) -> DataFrame:
     found = functools.reduce(DataFrame.unionByName, parts).filter(F.col("_n") >= rules.support)
     more = (1 + 2 / F.sqrt("_n")) * F.col("_sd")
     of = lambda c, what: F.max(F.when(F.col("_c_name") == c, what))
-    share = lambda w: F.least(F.greatest(w * more, rules.least_chars * F.col("_mid")), rules.most_chars * F.col("_mid"))
-    within = lambda least, most: F.least(F.greatest(rules.width * more, F.lit(least)), F.lit(most))
+    by = lambda one, other: F.when(F.col("_level") == SCRIPT_LEVEL, one).otherwise(other)
+    share = lambda w: F.least(F.greatest(w * more, by(rules.script_chars, rules.least_chars) * F.col("_mid")), rules.most_chars * F.col("_mid"))
+    within = lambda least, most: F.least(F.greatest(rules.width * more, least), F.lit(most))
     return found.groupBy("_level", "_key", "_size").agg(
         *[of(c, x).alias(n) for c, k in (("chars_per_token", ""), ("chars_per_token_2", "_2")) for n, x in (
             (f"_mid_chars{k}", F.col("_mid")), (f"_below_chars{k}", share(rules.width)), (f"_above_chars{k}", share(rules.width_above)))],
-        of("byte_share", F.col("_mid") + within(rules.least_bytes, rules.most_bytes)).alias("_high_bytes"),
-        of("token_entropy", F.col("_mid") - within(rules.least_entropy, rules.most_entropy)).alias("_low_entropy"))
+        of("byte_share", F.col("_mid") + within(F.lit(rules.least_bytes), rules.most_bytes)).alias("_high_bytes"),
+        of("token_entropy", F.col("_mid") - within(by(rules.script_entropy, rules.least_entropy), rules.most_entropy)).alias("_low_entropy"))
 
 
 def _grouped(measured: DataFrame) -> DataFrame:
@@ -238,6 +246,7 @@ def _grouped(measured: DataFrame) -> DataFrame:
 
 #: Keys of the bands from the narrowest, which is asked first, to the widest.
 LEVELS = (("_group", "_class"), ("_group",), ("_script",))
+SCRIPT_LEVEL = 2
 BOUNDS = ("_mid_chars", "_below_chars", "_above_chars", "_mid_chars_2", "_below_chars_2", "_above_chars_2", "_high_bytes", "_low_entropy")
 
 

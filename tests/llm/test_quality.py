@@ -103,3 +103,9 @@ def test_odd_rows(odd, none):
     assert got.count() == odd.count() and not got.filter("row.text is null").first()["kept"] and got.select("row.*").columns == odd.columns
     assert quality.judge(none, MODEL).count() == 0
     assert quality.judge(odd.drop("lang"), MODEL, lang=None).count() == odd.count()
+
+
+def test_prose_of_languages_too_rare_for_a_band_stays(spark):
+    d = "/root/testdata/sf0.001"
+    got = registry.op10_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("quality = 1 and not base_failed")
+    assert got.count() > 50 and got.filter("kept").count() > 0.98 * got.count()
