@@ -599,7 +599,7 @@ def shortest_path_matrix(spark, d):
 @query("shortest_path_relaxed", with_views("with " + HOPS + "select src, node, cast(d as double) as distance from best where node%6 = 0", "f_edges", recursive=True))
 def shortest_path_relaxed(spark, d):
     edges = view(spark, d, "f_edges")
-    return paths.distances_to(edges, edges.select(F.col("src").alias("node")).filter("node % 6 = 0"), broadcast_edges=0)
+    return paths.distances_to(edges, edges.select(F.col("src").alias("node")).filter("node % 6 = 0"), broadcast_bytes=0)
 
 
 @query("nearest_multi_source", with_views("with " + HOPS + "select src, arg_min(node, (d, node)) as node, cast(min(d) as double) as distance from best where node%6 = 0 group by src", "f_edges", recursive=True))
