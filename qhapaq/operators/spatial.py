@@ -60,18 +60,28 @@ def outside_own_district(points: DataFrame, polygons: DataFrame, point_id: str,
     return found.withColumn("fuera_de_su_distrito", other)
 
 
-def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, *, x: str = "_x", y: str = "_y", group: str | None = None) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, *, x: str = "_x", y: str = "_y", group: str | None = None,
+            at_lat: str | float | None = None) -> DataFrame:
     """(point_id, target_id, distance) of the nearest target in the plane, exactly; ties to the least target id.
 
     Points look into the three by three cells around their own. If what they find is closer than the edge of those
     cells it is the nearest; the other points look again in cells of twice the size. Only unresolved points go on, and
     cells start small where targets are dense on average, so joins stay near linear. With group, only targets of the
-    point's group count.
+    point's group count. With at_lat (a value, or a column of both sides that is one value in a group) x and y are
+    degrees and distances are metres of local_xy: differences are taken before they are scaled, since scaled coordinates
+    are rounded a hundred times more coarsely than the differences and part or join targets at equal distances.
     """
-    same = ["_g"] if group else []
-    pick = lambda d, i: d.select(F.col(i).alias("_id"), F.col(x).alias("_px"), F.col(y).alias("_py"), *([F.col(group).alias("_g")] if group else []))
-    left = pick(points, point_id).filter(F.col("_px").isNotNull() & F.col("_py").isNotNull())
-    right = written(pick(targets, target_id).filter(F.col("_px").isNotNull() & F.col("_py").isNotNull()).withColumnsRenamed({"_id": "_t", "_px": "_tx", "_py": "_ty"}), "targets")
+    same, own = (["_g"] if group else []), (["_at"] if isinstance(at_lat, str) else [])
+    plane = (lambda a, b: (a, b)) if at_lat is None else (lambda a, b: local_xy(a, b, F.col("_at") if own else float(at_lat)))
+
+    def pick(d: DataFrame, i: str, name: str) -> DataFrame:
+        rows = d.select(F.col(i).alias("_id"), F.col(x).cast("double").alias("_a"), F.col(y).cast("double").alias("_b"), *([F.col(group).alias("_g")] if group else []),
+                        *([F.col(at_lat).alias("_at")] if own else []))
+        px, py = plane(F.col("_a"), F.col("_b"))
+        return rows.withColumns({f"_{name}x": px, f"_{name}y": py}).filter(F.col(f"_{name}x").isNotNull() & F.col(f"_{name}y").isNotNull())
+
+    left = pick(points, point_id, "p")
+    right = written(pick(targets, target_id, "t").drop("_at").withColumnsRenamed({"_id": "_t", "_a": "_ta", "_b": "_tb"}), "targets")
     ids = (dict(left.dtypes)["_id"], dict(right.dtypes)["_t"])
     reach = right.agg(F.count("*"), F.min("_tx"), F.max("_tx"), F.min("_ty"), F.max("_ty")).first()
     empty = points.sparkSession.createDataFrame([], f"{point_id} {ids[0]}, {target_id} {ids[1]}, distance double")
@@ -84,20 +94,23 @@ def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str
         return empty
     width = max(reach[2] - reach[1], reach[4] - reach[3], 1e-9)
     whole = max(reach[2], around[1]) - min(reach[1], around[0]) + max(reach[4], around[3]) - min(reach[3], around[2])
+    rounding = 1e-12 * max(map(abs, [*reach[1:], *around]))  # cells are of rounded coordinates
     size, found = width / max(1.0, reach[0] ** 0.5), []
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     while True:
         all_in = size >= whole
         cells = right.withColumns({"_cx": _cell(F.col("_tx"), size), "_cy": _cell(F.col("_ty"), size)}).withColumn("_n", near)
-        cells = cells.select("_t", "_tx", "_ty", *same, (F.col("_cx") + F.col("_n.i")).alias("_cx"), (F.col("_cy") + F.col("_n.j")).alias("_cy"))
+        cells = cells.select("_t", "_ta", "_tb", *same, (F.col("_cx") + F.col("_n.i")).alias("_cx"), (F.col("_cy") + F.col("_n.j")).alias("_cy"))
         placed = left.withColumns({"_cx": _cell(F.col("_px"), size), "_cy": _cell(F.col("_py"), size)})
-        d2 = (F.col("_px") - F.col("_tx")) ** 2 + (F.col("_py") - F.col("_ty")) ** 2
-        best = placed.join(cells, ["_cx", "_cy", *same]).groupBy("_id").agg(F.min(F.struct(d2.alias("d2"), F.col("_t").alias("t"))).alias("_b"))
+        dx, dy = plane(F.col("_a") - F.col("_ta"), F.col("_b") - F.col("_tb"))
+        met = placed.join(cells, ["_cx", "_cy", *same]).select("_id", "_t", dx.alias("_dx"), dy.alias("_dy"))
+        d2 = F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")
+        best = met.groupBy("_id").agg(F.min(F.struct(d2.alias("d2"), F.col("_t").alias("t"))).alias("_best"))
         edge = F.least(F.col("_px") - F.col("_cx") * size, (F.col("_cx") + 1) * size - F.col("_px"),
-                       F.col("_py") - F.col("_cy") * size, (F.col("_cy") + 1) * size - F.col("_py")) + size
-        done = written(placed.join(best, "_id", "left").withColumn("_ok", F.coalesce(F.sqrt("_b.d2") < edge, F.lit(False)) | F.lit(all_in)), "nearest")
-        found.append(done.filter(F.col("_ok") & F.col("_b").isNotNull()).select(F.col("_id").alias(point_id), F.col("_b.t").alias(target_id), F.sqrt("_b.d2").alias("distance")))
-        left = done.filter(~F.col("_ok")).select("_id", "_px", "_py", *same)
+                       F.col("_py") - F.col("_cy") * size, (F.col("_cy") + 1) * size - F.col("_py")) + size - rounding
+        done = written(placed.join(best, "_id", "left").withColumn("_ok", F.coalesce(F.sqrt("_best.d2") < edge, F.lit(False)) | F.lit(all_in)), "nearest")
+        found.append(done.filter(F.col("_ok") & F.col("_best").isNotNull()).select(F.col("_id").alias(point_id), F.col("_best.t").alias(target_id), F.sqrt("_best.d2").alias("distance")))
+        left = done.filter(~F.col("_ok")).select(*left.columns)
         if all_in or left.isEmpty():
             break
         size *= 2
@@ -139,11 +152,11 @@ def people_by_place(cells: DataFrame, places: DataFrame, *, group: str | None =
         live = within(live, polygons, "cell_id", group, x="cx", y="cy").filter(F.col(group).isNotNull())
     if group:
         middle = written(quantiles(places, [group], "lat", {"_lat0": 0.5}), "middles")
-        scale = lambda d, a, b: d.join(middle, group).withColumns(dict(zip(("_x", "_y"), local_xy(F.col(a), F.col(b), F.col("_lat0")))))
+        at, near_by = "_lat0", lambda d: d.join(middle, group)
     else:
-        at = float(quantiles(places, [], "lat", {"m": 0.5}).first()[0] or 0.0)
-        scale = lambda d, a, b: d.withColumns(dict(zip(("_x", "_y"), local_xy(F.col(a), F.col(b), at))))
-    close = nearest(scale(live, "cx", "cy"), scale(places, "lon", "lat"), "cell_id", "cod_ccpp", group=group)
+        at, near_by = float(quantiles(places, [], "lat", {"m": 0.5}).first()[0] or 0.0), lambda d: d
+    placed = near_by(places).withColumnsRenamed({"lon": "cx", "lat": "cy"})
+    close = nearest(near_by(live), placed, "cell_id", "cod_ccpp", x="cx", y="cy", group=group, at_lat=at)
     sums = close.join(live.select("cell_id", "val"), "cell_id").groupBy("cod_ccpp").agg(F.sum("val").alias("s"))
     return places.select("cod_ccpp").distinct().join(sums, "cod_ccpp", "left").select("cod_ccpp", F.round(F.coalesce("s", F.lit(0.0)), places_after).alias("poblacion"))
 

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,6 +221,29 @@ def test_people(spark):
     assert {r[0]: r[1] for r in spatial.people_by_place(cells, places, group="g", polygons=polygons).collect()} == {"a": 5, "b": 7, "c": 0}
 
 
+def test_nearest_of_equal_distances(spark):
+    """Two places lie to the left and right of each cell, as far but for rounding: differences are taken before they are scaled."""
+    at = [i * 7907 % 12800 for i in range(180)]
+    cells = [(i, -81.4 + a / 1000, -18.4 + i * 0.1, 1.0) for i, a in enumerate(at)]
+    places = [(2 * i + side, -81.4 + (at[i] + (2 * side - 1) * (i % 40 + 1)) / 1000, y) for i, _, y, _ in cells for side in (0, 1)]
+    lats = sorted(y for _, _, y in places)
+    scale = math.cos(math.radians((lats[179] + lats[180]) / 2))
+
+    def metres(cell, place):
+        dx, dy = (cell[1] - place[1]) * scale * 111320, (cell[2] - place[2]) * 110540
+        return dx * dx + dy * dy
+
+    want = {c[0]: min(places, key=lambda p: (metres(c, p), p[0]))[0] for c in cells}
+    assert {w - 2 * i for i, w in want.items()} == {0, 1}
+    frame = spark.createDataFrame(cells, "cell_id long, cx double, cy double, val double")
+    spots = spark.createDataFrame(places, "cod_ccpp long, lon double, lat double")
+    got = {r["cod_ccpp"] for r in spatial.people_by_place(frame, spots).filter("poblacion = 1").collect()}
+    assert got == set(want.values())
+    polygons = spark.createDataFrame([("g", square(-90.0, -20.0, -60.0, 2.0))], POLYGONS.replace("ubigeo", "g"))
+    got = {r["cod_ccpp"] for r in spatial.people_by_place(frame, spots.withColumn("g", F.lit("g")), group="g", polygons=polygons).filter("poblacion = 1").collect()}
+    assert got == set(want.values())
+
+
 WAYS = "way_id long, pts array<struct<lon:double,lat:double>>, highway string, maxspeed string, oneway string, junction string, access string"
 
 
