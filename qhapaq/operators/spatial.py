@@ -126,8 +126,7 @@ def snapped(points: DataFrame, nodes: DataFrame, point_id: str, *, most_m: float
     nodes: node, lon, lat. The plane is scaled at the median latitude of the nodes.
     """
     middle = quantiles(nodes, [], "lat", {"m": 0.5}).first()[0]
-    flat = lambda d: d.withColumns(dict(zip(("_x", "_y"), local_xy(F.col("lon"), F.col("lat"), float(middle or 0.0)))))
-    close = nearest(flat(points), flat(nodes), point_id, "node").drop("distance")
+    close = nearest(points, nodes, point_id, "node", x="lon", y="lat", at_lat=float(middle or 0.0)).drop("distance")
     joined = points.join(close, point_id).join(nodes.select("node", F.col("lon").alias("nodo_lon"), F.col("lat").alias("nodo_lat")), "node")
     metres = haversine(F.col("lon"), F.col("lat"), F.col("nodo_lon"), F.col("nodo_lat"))
     return joined.withColumn("snap_dist_m", metres).withColumn("snap_ok", F.col("snap_dist_m") <= most_m)

@@ -242,6 +242,8 @@ def test_nearest_of_equal_distances(spark):
     polygons = spark.createDataFrame([("g", square(-90.0, -20.0, -60.0, 2.0))], POLYGONS.replace("ubigeo", "g"))
     got = {r["cod_ccpp"] for r in spatial.people_by_place(frame, spots.withColumn("g", F.lit("g")), group="g", polygons=polygons).filter("poblacion = 1").collect()}
     assert got == set(want.values())
+    snaps = spatial.snapped(frame.select("cell_id", F.col("cx").alias("lon"), F.col("cy").alias("lat")), spots.withColumnRenamed("cod_ccpp", "node"), "cell_id")
+    assert {r["cell_id"]: r["node"] for r in snaps.collect()} == want
 
 
 WAYS = "way_id long, pts array<struct<lon:double,lat:double>>, highway string, maxspeed string, oneway string, junction string, access string"
