@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -257,17 +257,28 @@ def _with_band(rows: DataFrame, limits: DataFrame, rules: Rules) -> DataFrame:
         names = [F.col(c).alias(name) for c, name in zip(("_key", "_size"), at)]
         rows = rows.join(share(limits.filter(F.col("_level") == i).select(*names, F.struct(*BOUNDS).alias(f"_band{i}"))), list(at), "left")
     low, high = rules.fixed_chars
-    fixed = F.struct(*[F.lit(x).cast("double").alias(c) for x, c in zip((low, 0.0, high - low, low, 0.0, high - low, rules.fixed_bytes, rules.fixed_entropy), BOUNDS)])
+    fixed = dict(zip(BOUNDS, (low, 0.0, high - low, low, 0.0, high - low, rules.fixed_bytes, rules.fixed_entropy)))
     longer = F.sqrt(1 + rules.short_chars / F.greatest(F.col("measures.word_chars"), F.lit(1)))
-    wide = F.coalesce(*[F.col(f"_band{i}") for i in range(1, len(LEVELS))])
-    for c in BOUNDS[:6]:
-        if "mid" not in c:
-            wide = wide.withField(c, F.least(wide[c] * longer, rules.most_chars * wide["_mid_chars" + ("_2" if c.endswith("_2") else "")]))
-    wide = F.coalesce(wide, fixed)
     n = F.greatest(F.col("measures.n_tokens"), F.lit(1))
-    wide = wide.withField("_low_entropy", F.least(wide["_low_entropy"], rules.short_entropy * F.log2(n)))
-    wide = wide.withField("_high_bytes", F.least(wide["_high_bytes"] + rules.short_bytes / n, F.lit(rules.fixed_bytes)))
-    return rows.withColumn("_band", F.coalesce("_band0", wide))
+
+    def widened(c: str, value: Column, mid: Column | None) -> Column:
+        """A bound of all lengths for this row's length; mid: None in the fixed bands, whose characters a token stay."""
+        if c == "_low_entropy":
+            return F.least(value, rules.short_entropy * F.log2(n))
+        if c == "_high_bytes":
+            return F.least(value + rules.short_bytes / n, F.lit(rules.fixed_bytes))
+        return value if mid is None or "mid" in c else F.least(value * longer, rules.most_chars * mid)
+
+    def bound(c: str) -> Column:
+        """Of the first band there is. Every bound is an expression of its own: updates of a struct would repeat it whole in each
+        of its fields, until the driver has more of a plan than it can hold or compile."""
+        mid = "_mid_chars_2" if c.endswith("_2") else "_mid_chars"
+        found = F.when(F.col("_band0").isNotNull(), F.col(f"_band0.{c}"))
+        for i in range(1, len(LEVELS)):
+            found = found.when(F.col(f"_band{i}").isNotNull(), widened(c, F.col(f"_band{i}.{c}"), F.col(f"_band{i}.{mid}")))
+        return found.otherwise(widened(c, F.lit(fixed[c]), None))
+
+    return rows.withColumn("_band", F.struct(*[bound(c).alias(c) for c in BOUNDS]))
 
 
 #: Bands are broadcast up to so many; more (which would take thousands of languages) are joined by shuffle.
